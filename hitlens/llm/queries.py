@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from hitlens.llm.common import table
 from hitlens.llm.near_dup import near_duplicates
+from hitlens.llm.quality_model import quality_scores
+from hitlens.llm.sentencepieces import encode_documents
+from hitlens.llm.tokenizers import model_file
+
+
+def op1_quality_classifier(spark, sf_dir):
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_sentencepiece(spark, sf_dir):
+    return encode_documents(table(spark, sf_dir, "documents"), model_file("piece_bpe_32k.model"))
 
 
 def op5_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op5_near_duplicates,)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op5_near_duplicates)}
