@@ -29,8 +29,8 @@ WORDS = sorted({w for words in COMMON_WORDS.values() for w in words})
 CLASSES = {"upper": r"\p{Lu}", "accented": r"[\p{L}&&\P{Lu}]", "digit": r"\p{N}", "stop": r"[.,;:?'’-]", "shout": "!", "symbol": r"[#*$%&|<>]", "other": r"[^\p{L}\p{N}.,;:?'’!#*$%&|<>-]"}
 
 MIN_WORDS = 50
-MAX_CLASS_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.80
+MAX_CLASS_DISTANCE = 0.22
+MAX_WORD_DISTANCE = 0.60
 #: A language needs so many documents (of MIN_WORDS words) to have a reference.
 MIN_REFERENCE = 5
 

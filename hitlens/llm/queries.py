@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from hitlens.llm.common import table
+from hitlens.llm.mixing import mix
 from hitlens.llm.near_dup import near_duplicates
 from hitlens.llm.quality_model import quality_scores
+from hitlens.llm.quality_rules import quality_rules
 from hitlens.llm.sentencepieces import encode_documents
 from hitlens.llm.tokenizers import model_file
 
@@ -21,4 +23,12 @@ def op5_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op5_near_duplicates)}
+def op7_source_mixing(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op5_near_duplicates, op7_source_mixing, op9_quality_rules)}
