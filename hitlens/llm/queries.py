@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from hitlens.llm.chat_format import preference_pairs, span_text, turns_of, weaker_reply
 from hitlens.llm.common import table
 from hitlens.llm.mixing import mix
 from hitlens.llm.near_dup import near_duplicates
@@ -9,6 +12,18 @@ from hitlens.llm.quality_model import quality_scores
 from hitlens.llm.quality_rules import quality_rules
 from hitlens.llm.sentencepieces import encode_documents
 from hitlens.llm.tokenizers import model_file
+from hitlens.llm.url_filter import judge_urls
+
+#: (verdict, host, path)
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+#: The list of the URL filter: all known URLs of these sites.
+LISTED_SITES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
 
 
 def op1_quality_classifier(spark, sf_dir):
@@ -19,6 +34,12 @@ def op2_sentencepiece(spark, sf_dir):
     return encode_documents(table(spark, sf_dir, "documents"), model_file("piece_bpe_32k.model"))
 
 
+def op4_preference_format(spark, sf_dir):
+    turns = turns_of(table(spark, sf_dir, "conversations"))
+    pairs = turns.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), weaker_reply(F.col("turns")).alias("rejected"))
+    return preference_pairs(pairs).withColumns({c: span_text(F.col(c)) for c in ("chosen_spans", "rejected_spans")})
+
+
 def op5_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -31,4 +52,10 @@ def op9_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op5_near_duplicates, op7_source_mixing, op9_quality_rules)}
+def op10_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    listed = pages.filter(F.col("url").rlike(r"^[^:]*://([^/?#]*\.)?(" + "|".join(LISTED_SITES) + r")\."))
+    return judge_urls(pages, URL_RULES, listed)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op4_preference_format, op5_near_duplicates, op7_source_mixing, op9_quality_rules, op10_url_filter)}
