@@ -9,11 +9,15 @@ register comparison (with the known set sizes) discards the far ones, and the
 full shingle sets confirm every link that counts.
 
 Skew. Texts with the same set collapse into a class first, by an aggregation
-with map-side combine, so thousands of copies are one node. Within a band's
-bucket every member is tried against one hub (linear in the bucket). Buckets
-whose members are then still in different components are compared in blocks
-of about BLOCK members, across components only: each task holds two blocks,
-and only pairs that the likelihood keeps are emitted. No bucket is capped.
+with map-side combine, so thousands of copies are one node. Nodes are numbered
+at random (a bijection of doc_id). Within a band's bucket every member is tried
+against one hub, the smallest node, which a group of near copies shares in most
+of its buckets; members that are then in another component than a second,
+random hub are tried against that one. Both are linear in the bucket. Buckets
+whose members are even then in different components are compared in blocks of
+about BLOCK members, across components only: each task holds two blocks, and
+only pairs that the likelihood keeps are emitted, each in its first common
+bucket. No bucket is capped.
 
 Recall. A pair at exactly the threshold of 0.8 meets in no band with a
 probability of (1 - 0.8^5)^40 = 1.3e-7.
@@ -26,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hitlens.llm.blocked_bloom import only_listed, without_listed
 from hitlens.llm.common import small_batches, stage
 from hitlens.llm.components import components
 from hitlens.llm.textkit import U64, mix, shingles, utf8, word_hashes
@@ -34,8 +39,8 @@ M, ROWS = 200, 5
 BASE, RATE, Q = 1.001, 20.0, 65534
 BLOCK = 256
 #: A similarity estimate from M registers has a standard error of at most
-#: 0.0283 at 0.8: pairs 6 errors below the threshold are dropped.
-SLACK = 6 * 0.0283
+#: 0.0283 at 0.8: pairs 5 errors below the threshold are dropped (3e-7).
+SLACK = 5 * 0.0283
 
 
 def minima(elements: np.ndarray, counts: np.ndarray, m: int = M) -> np.ndarray:
@@ -106,7 +111,8 @@ def _sets_of(column, k: int):
 
 
 def sketch(documents: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), f1, f2 (128-bit fingerprint of the set), regs (registers)."""
+    """doc_id, n (set size), f1, f2 (128-bit fingerprint of the set), node (a
+    random number for doc_id, one to one), regs (registers)."""
 
     def run(batches):
         for batch in batches:
@@ -118,16 +124,17 @@ def sketch(documents: DataFrame, k: int) -> DataFrame:
             for out, salt in zip(prints, (0x243F6A8885A308D3, 0x13198A2E03707344)):
                 if len(filled):
                     out[filled] = mix(np.add.reduceat(mix(found ^ U64(salt)), at[:-1][filled]) + counts[filled].astype(U64))
+            nodes = mix(batch.column(0).fill_null(0).to_numpy().astype(np.int64).view(U64) ^ U64(0x452821E638D01377)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts), *(pa.array(x.view(np.int64)) for x in prints), pa.array([r.tobytes() for r in regs], pa.binary())],
-                names=["doc_id", "n", "f1", "f2", "regs"],
+                [batch.column(0), pa.array(counts), *(pa.array(x.view(np.int64)) for x in prints), pa.array(nodes), pa.array([r.tobytes() for r in regs], pa.binary())],
+                names=["doc_id", "n", "f1", "f2", "node", "regs"],
             )
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, f1 long, f2 long, regs binary")
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, f1 long, f2 long, node long, regs binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """key, node: a row for each band of each class."""
+    """key, node: a row for each band of each class; the key ends in the band's number."""
 
     def run(batches):
         for batch in batches:
@@ -135,12 +142,24 @@ def _bands(classes: DataFrame) -> DataFrame:
                 continue
             regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, M // ROWS, ROWS).astype(U64)
             coefficient = mix(np.arange(11, 11 + ROWS, dtype=U64)) | U64(1)
-            key = mix((regs * coefficient).sum(axis=2, dtype=U64) ^ mix(np.arange(M // ROWS, dtype=U64)))
+            band = np.arange(M // ROWS, dtype=U64)
+            key = mix((regs * coefficient).sum(axis=2, dtype=U64) ^ mix(band)) & ~U64(63) | band
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), M // ROWS))], names=["key", "node"])
 
     return classes.select("node", "regs").mapInArrow(run, "key long, node long")
 
 
+def _near(ra, rb, na, nb, least: float) -> np.ndarray:
+    """Whether sets with registers ra, rb and sizes na, nb may reach the similarity least."""
+    good = (ra == rb).sum(axis=1) >= least * M
+    good &= np.minimum(na, nb) >= least * np.maximum(na, nb)
+    which = np.flatnonzero(good)
+    if len(which):
+        ra, rb, na, nb = (x[which] if len(x) == len(good) else x for x in (ra, rb, na, nb))
+        good[which] = likely_jaccard((ra > rb).sum(axis=1), (ra < rb).sum(axis=1), na, nb) >= least
+    return good
+
+
 def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) that may reach the similarity `least` by their registers."""
 
@@ -150,15 +169,18 @@ def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
                 continue
             ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, M) for c in ("ra", "rb"))
             na, nb = (batch.column(c).to_numpy().astype(float) for c in ("na", "nb"))
-            good = likely_jaccard((ra > rb).sum(axis=1), (ra < rb).sum(axis=1), na, nb) >= least
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+            yield batch.select(["a", "b"]).filter(pa.array(_near(ra, rb, na, nb, least)))
 
-    of = classes.select("node", "n", "regs")
+    of = only_listed(classes.select("node", "n", "regs"), "node", _ends(pairs))
     joined = pairs.join(of.toDF("a", "na", "ra"), "a").join(of.toDF("b", "nb", "rb"), "b")
     return joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets have 100 * intersection >= percent * union."""
 
     def run(batches):
@@ -175,22 +197,36 @@ def _verified(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> D
                     good[i] = 100 * common >= percent * (len(x) + len(y) - common)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi")
+    wanted = stage(classes.select("node", "doc_id").join(_ends(pairs), "node", "left_semi"), "wanted")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = only_listed(rows, "doc_id", wanted.select("doc_id")).join(wanted, "doc_id").select("node", "text")
     joined = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _across(buckets: DataFrame, labels: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """buckets with component, without the buckets that lie in one component."""
+    rows = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    return rows.join(several, "key", "left_semi")
+
+
+def _second_hubs(rows: DataFrame) -> DataFrame:
+    """Pairs of a bucket's members with a random one of another component."""
+    second = rows.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", "key")).alias("second"))
+    pairs = rows.join(second, "key").filter((F.col("component") != F.col("second.component")) & (F.col("node") != F.col("hub")) & (F.col("second.node") != F.col("hub")))
+    return pairs.select(F.least("node", "second.node").alias("a"), F.greatest("node", "second.node").alias("b")).distinct()
+
+
+def _across(rows: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """Likely pairs within a bucket and across components, compared block by block."""
-    labelled = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    open_keys = labelled.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    blocks = open_keys.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    nodes = rows.select("node").distinct()
     members = (
-        labelled.join(blocks, "key")
-        .join(classes.select("node", "n", "regs"), "node")
+        rows.join(blocks, "key")
+        .join(only_listed(classes.select("node", "n", "regs"), "node", nodes), "node")
         .withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-        .groupBy("key", "block", "blocks")
+        .groupBy("key", "hub", "block", "blocks")
         .agg(F.collect_list(F.struct("node", "component", "n", "regs")).alias("members"))
     )
     left = members.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1)))
@@ -205,15 +241,22 @@ def _across(buckets: DataFrame, labels: DataFrame, classes: DataFrame, least: fl
             found = []
             for i in range(batch.num_rows):
                 (x, cx, nx, rx), (y, cy, ny, ry) = (read(batch.column(c).slice(i, 1)) for c in ("members", "others"))
-                for j in range(len(x)):
-                    rest = np.flatnonzero((cy != cx[j]) & ((y > x[j]) if batch.column("block")[i] == batch.column("other")[i] else True))
+                band, hub = batch.column("key")[i].as_py() & 63, batch.column("hub")[i].as_py()
+                same = batch.column("block")[i] == batch.column("other")[i]
+                for j in np.flatnonzero(x != hub).tolist():
+                    rest = np.flatnonzero((cy != cx[j]) & (y != hub) & ((y > x[j]) if same else True))
+                    if not len(rest):
+                        continue
+                    equal = rx[j] == ry[rest]
+                    first = equal[:, : band * ROWS].reshape(len(rest), band, ROWS).all(axis=2).any(axis=1)
+                    rest = rest[~first & (equal.sum(axis=1) >= least * M)]
                     if len(rest):
-                        near = likely_jaccard((rx[j] > ry[rest]).sum(axis=1), (rx[j] < ry[rest]).sum(axis=1), np.full(len(rest), float(nx[j])), ny[rest].astype(float)) >= least
-                        found += [(min(x[j], o), max(x[j], o)) for o in y[rest[near]].tolist()]
+                        rest = rest[_near(rx[j][None], ry[rest], nx[j : j + 1].astype(float), ny[rest].astype(float), least)]
+                        found += [(min(x[j], o), max(x[j], o)) for o in y[rest].tolist()]
             a, b = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return left.join(right, ["key", "other"]).select("block", "other", "members", "others").mapInArrow(run, "a long, b long").distinct()
+    return left.join(right, ["key", "other"]).select("key", "hub", "block", "other", "members", "others").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -232,27 +275,44 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     spark = documents.sparkSession
     small_batches(spark)
     sketches = stage(sketch(documents, k), "sketches")
-    filled = sketches.filter("n > 0")
-    named = filled.filter("doc_id IS NOT NULL")
-    rep_of = named.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"))
-    classes = stage(
-        rep_of.join(named.select(F.col("doc_id").alias("node"), "f1", "f2", "n", "regs"), ["f1", "f2", "node"]).dropDuplicates(["f1", "f2", "node"]).select("node", "n", "f1", "f2", "regs"),
-        "classes",
-    )
+    named = sketches.filter("n > 0 AND doc_id IS NOT NULL")
+    first = F.min_by(F.struct("node", "n", "regs"), "doc_id").alias("first")
+    classes = stage(named.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"), first).select("f1", "f2", "doc_id", "first.*"), "classes")
     bands = _bands(classes)
-    # every member of a bucket is tried against the bucket's hub
-    hubs = bands.groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
+    hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).filter("size > 1")
     buckets = stage(bands.join(hubs, "key"), "buckets")
     least = percent / 100 - SLACK
-    stars = buckets.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    links = stage(_verified(stage(_likely(stars, classes, least), "near"), documents, k, percent), "links")
+    stars = stage(buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    links = stage(_verified(stage(_likely(stars, classes, least), "near"), classes, documents, k, percent), "links")
     labels = components(links)
-    rest = stage(_across(buckets.filter("size > 2").select("key", "node"), labels, classes, least), "across")
-    if not rest.isEmpty():
-        links = links.unionByName(_verified(rest, documents, k, percent))
+    rest = stage(_labelled(buckets.filter("size > 2"), labels), "rest")
+    second = stage(_second_hubs(rest), "second")
+    if not second.isEmpty():
+        links = stage(links.unionByName(_verified(stage(_likely(second, classes, least), "near"), classes, documents, k, percent)), "links")
         labels = components(links)
-    groups = classes.select("f1", "f2", "node").join(labels, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component_id"))
-    # the classes are far fewer bytes than the rows: only ids and fingerprints move
+        across = stage(_across(_labelled(rest.drop("component"), labels), classes, least), "across")
+        if not across.isEmpty():
+            links = links.unionByName(_verified(across, classes, documents, k, percent))
+            labels = components(links)
+    # a component's number is its smallest doc_id
+    joined = classes.select("f1", "f2", "doc_id", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    groups = joined.join(smallest, "component").select("f1", "f2", "component_id")
+    # only ids and fingerprints of the rows move
     out = sketches.select("doc_id", "n", "f1", "f2").join(groups, ["f1", "f2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of documents of which one stands for each near-duplicate group,
+    with all their columns: the one of the smallest doc_id, once if repeated.
+    Texts without words and rows without an id are in no group and stay."""
+    found = stage(near_duplicates(documents.select("doc_id", "text"), k, percent), "verdicts")
+    by_id = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    dropped = stage(by_id.filter("NOT kept").select("doc_id"), "dropped")
+    repeated = stage(by_id.filter("kept AND n > 1").select("doc_id"), "repeated")
+    out = without_listed(documents, "doc_id", dropped)
+    if repeated.isEmpty():
+        return out
+    return without_listed(out, "doc_id", repeated).unionByName(only_listed(out, "doc_id", repeated).dropDuplicates(["doc_id"]))

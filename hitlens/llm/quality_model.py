@@ -122,17 +122,6 @@ def _stats(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, " + ", ".join(f"{x} double" for x in X))
 
 
-def _features(rows: DataFrame, mean: np.ndarray, spread: np.ndarray, then, schema: str) -> DataFrame:
-    """then(doc ids and other columns, features) for each batch of rows (..., x0, x1, ...)."""
-
-    def run(batches):
-        for batch in batches:
-            x = np.column_stack([batch.column(c).to_numpy() for c in X])
-            yield then(batch, fourier(x, mean, spread))
-
-    return rows.mapInArrow(run, schema)
-
-
 def _normal_equations(rows: DataFrame, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
     """The matrix [F'F, F'y] over rows (y, x0, x1, ...), summed by partition and then by its rows."""
     size = 1 + STATS + FOURIER
@@ -162,57 +151,90 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def quality_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, max_fit_rows: int = MAX_FIT_ROWS) -> DataFrame:
-    """For each row of documents (doc_id, text): doc_id, held_out, score, predicted.
+def _matrix(batch) -> np.ndarray:
+    return np.column_stack([batch.column(c).to_numpy() for c in X])
 
-    labels: doc_id and quality 0/1; rows with a null in either are ignored and
-    repeated labels of one doc_id are averaged. Rows with crc32(doc_id) mod 4 = 2
-    are never learned from; of the others, remainders 0 and 1 fit the ridge and
-    3 calibrates. Without labels (or with labels of no document) every score is
-    0.5. A null, empty or blank text has the statistics zero and so some one
-    score; repeated rows get equal scores each; a null doc_id is kept as null
-    (and not held out). Columns other than those named are ignored.
-    """
-    spark = documents.sparkSession
-    small_batches(spark)
-    stats = stage(_stats(documents), "stats")
+
+def fit(stats: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS):
+    """A function from a matrix of statistics to scores, learned from stats
+    (doc_id, x0, x1, ...) and labels (doc_id, quality); see quality_scores."""
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("y"))
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
     learn = stage(stats.join(known.filter(fold != 2), "doc_id").select("doc_id", "y", *X), "learn")
-    fit = learn.filter(fold < 2)
-    totals = fit.agg(F.count("*").alias("n"), *(F.avg(x).alias(f"m_{x}") for x in X), *(F.stddev_pop(x).alias(f"s_{x}") for x in X)).first()
+    rows = learn.filter(fold < 2)
+    totals = rows.agg(F.count("*").alias("n"), *(F.avg(x).alias(f"m_{x}") for x in X), *(F.stddev_pop(x).alias(f"s_{x}") for x in X)).first()
     if not totals.n:
-        return _judged(stats.withColumn("score", F.lit(0.5)), threshold)
+        return lambda x: np.full(len(x), 0.5)
     if totals.n > max_fit_rows:
-        fit = fit.filter(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20)) < F.lit(int((1 << 20) * max_fit_rows / totals.n)))
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20)) < F.lit(int((1 << 20) * max_fit_rows / totals.n)))
     mean, spread = (np.array([totals[f"{p}_{x}"] for x in X]) for p in "ms")
     spread = np.maximum(spread, 1e-3)
-    system = _normal_equations(fit, mean, spread)
+    system = _normal_equations(rows, mean, spread)
     gram, target = system[:, :-1], system[:, -1]
     penalty = np.full(len(gram), RIDGE * gram[0, 0])
     penalty[0] = 0
     beta = np.linalg.solve(gram + np.diag(penalty) + 1e-9 * np.eye(len(gram)), target)
 
-    def raw(batch, f):
-        return pa.RecordBatch.from_arrays([batch.column("y"), pa.array(np.clip(f @ beta, LOW, HIGH))], names=["y", "raw"])
+    def binned(batches):
+        for batch in batches:
+            raw = np.clip(fourier(_matrix(batch), mean, spread) @ beta, LOW, HIGH)
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(np.floor((raw - LOW) * STEPS).astype(np.int64))], names=["y", "bin"])
 
     calibrate = learn.filter(fold == 3)
     if calibrate.isEmpty():
-        calibrate = fit
-    bins = _features(calibrate, mean, spread, raw, "y double, raw double").groupBy(F.floor((F.col("raw") - LOW) * STEPS).alias("bin")).agg(F.count("*").alias("n"), F.sum("y").alias("total"))
+        calibrate = rows
+    bins = calibrate.mapInArrow(binned, "y double, bin long").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("total"))
     found = sorted((r.bin, r.n, r.total) for r in bins.collect())  # at most (HIGH - LOW) * STEPS + 1 rows
     at, n, total = (np.array(v, float) for v in zip(*found))
-    # half a row of either label at the ends keeps probabilities off 0 and 1
+    # half a row of label 0 at the lower end and of label 1 at the upper keep probabilities off 0 and 1
     n, total = n + np.where((at == at[0]) | (at == at[-1]), 0.5, 0), total + np.where(at == at[-1], 0.5, 0)
     points, values = (at + 0.5) / STEPS + LOW, isotonic(n, total)
 
-    def final(batch, f):
-        r = np.clip(f @ beta, LOW, HIGH)
-        score = (1 - ORDER) * np.interp(r, points, values) + ORDER * (r - LOW) / (HIGH - LOW)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.clip(score, 0, 1))], names=["doc_id", "score"])
+    def score(x: np.ndarray) -> np.ndarray:
+        raw = np.clip(fourier(x, mean, spread) @ beta, LOW, HIGH)
+        return np.clip((1 - ORDER) * np.interp(raw, points, values) + ORDER * (raw - LOW) / (HIGH - LOW), 0, 1)
+
+    return score
 
-    return _judged(_features(stats.select("doc_id", *X), mean, spread, final, "doc_id long, score double"), threshold)
 
+def quality_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, max_fit_rows: int = MAX_FIT_ROWS) -> DataFrame:
+    """For each row of documents (doc_id, text): doc_id, held_out, score, predicted.
+
+    labels: doc_id and quality 0/1; rows with a null in either are ignored and
+    repeated labels of one doc_id are averaged. Rows with crc32(doc_id) mod 4 = 2
+    are never learned from; of the others, remainders 0 and 1 fit the ridge (a
+    sample of about max_fit_rows by hash, if there are more) and 3 calibrates.
+    Without labels (or with labels of no document) every score is 0.5. A null,
+    empty or blank text has the statistics zero and so some one score; repeated
+    rows get equal scores each; a null doc_id is kept as null (and not held
+    out). Columns other than those named are ignored.
+    """
+    small_batches(documents.sparkSession)
+    stats = stage(_stats(documents), "stats")
+    score = fit(stats, labels, max_fit_rows)
 
-def _judged(scored: DataFrame, threshold: float) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score(_matrix(batch)))], names=["doc_id", "score"])
+
+    scored = stats.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, max_fit_rows: int = MAX_FIT_ROWS) -> DataFrame:
+    """The rows of documents with a score of at least threshold, with all their
+    columns. The statistics of a text are computed again where it stands, so
+    that no text is shuffled."""
+    small_batches(documents.sparkSession)
+    score = fit(stage(_stats(documents), "stats"), labels, max_fit_rows)
+
+    def run(batches):
+        for batch in batches:
+            good = score(statistics(batch.column(batch.num_columns - 1))) >= threshold
+            yield batch.filter(pa.array(good)).select(range(batch.num_columns - 1))
+
+    # by position: the text as string comes last, whatever the columns are called
+    plain = documents.toDF(*(f"c{i}" for i in range(len(documents.columns))))
+    text = f"c{documents.columns.index('text')}"
+    rows = plain.withColumn("last", F.col(text).cast("string"))
+    return rows.mapInArrow(run, plain.schema).toDF(*documents.columns)
