@@ -165,4 +165,8 @@ def quality_rules(documents: DataFrame) -> DataFrame:
 
 def keep_by_rules(documents: DataFrame) -> DataFrame:
     """The rows of documents that the rules keep, with all their columns."""
-    return with_rules(documents, references(documents)).filter(_c("kept")).select(*documents.columns)
+    judged = with_rules(documents, references(documents))
+    # the row number keeps the optimizer from writing all steps anew into the
+    # filter's condition, once for every use of each
+    numbered = _add(judged, row=F.monotonically_increasing_id())
+    return numbered.filter(_c("kept") & (_c("row") >= 0)).select(*(F.col(f"`{c}`") for c in documents.columns))
