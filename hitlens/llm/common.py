@@ -28,8 +28,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_root(spark)}/hitlens/{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
-    return path
+    files = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(hpath)
+    # with its scheme, as Arrow's file systems need it: file:///...
+    full = files.makeQualified(hpath).toString()
+    return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hitlens.llm.chat_format import preference_pairs, span_text, turns_of, weaker_reply
-from hitlens.llm.common import table
+from hitlens.llm.common import shared_path, table
 from hitlens.llm.mixing import mix
 from hitlens.llm.near_dup import near_duplicates
 from hitlens.llm.quality_model import quality_scores
 from hitlens.llm.quality_rules import quality_rules
 from hitlens.llm.sentencepieces import encode_documents
-from hitlens.llm.tokenizers import model_file
+from hitlens.llm.tokenizers import model_file, word_pattern
+from hitlens.llm.token_scan import document_lengths, write_token_files
 from hitlens.llm.url_filter import judge_urls
+from hitlens.llm.warc import archive_and_read
 
 #: (verdict, host, path)
 URL_RULES = [
@@ -34,6 +36,10 @@ def op2_sentencepiece(spark, sf_dir):
     return encode_documents(table(spark, sf_dir, "documents"), model_file("piece_bpe_32k.model"))
 
 
+def op3_warc(spark, sf_dir):
+    return archive_and_read(table(spark, sf_dir, "pages"))
+
+
 def op4_preference_format(spark, sf_dir):
     turns = turns_of(table(spark, sf_dir, "conversations"))
     pairs = turns.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), weaker_reply(F.col("turns")).alias("rejected"))
@@ -44,6 +50,14 @@ def op5_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op6_token_counts(spark, sf_dir):
+    folder = shared_path(spark, "tokens")
+    # id 50256 is free in this vocabulary and closes documents
+    files = write_token_files(table(spark, sf_dir, "documents"), model_file("byte_bpe_50k.tiktoken"), word_pattern(), 50256, folder)
+    lengths = document_lengths(files, folder, 50256)
+    return lengths.join(files.select("part", "file"), "file").select("part", "ordinal", "n_tokens", "closed")
+
+
 def op7_source_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 
@@ -58,4 +72,17 @@ def op10_url_filter(spark, sf_dir):
     return judge_urls(pages, URL_RULES, listed)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op4_preference_format, op5_near_duplicates, op7_source_mixing, op9_quality_rules, op10_url_filter)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op2_sentencepiece,
+        op3_warc,
+        op4_preference_format,
+        op5_near_duplicates,
+        op6_token_counts,
+        op7_source_mixing,
+        op9_quality_rules,
+        op10_url_filter,
+    )
+}

@@ -14,3 +14,10 @@ def model_file(name: str, folder: str | None = None) -> bytes:
         folder = os.path.dirname(public_tokenizers.path(name))
     with open(os.path.join(folder, name), "rb") as f:
         return f.read()
+
+
+def word_pattern() -> str:
+    """The pattern by which the byte-level vocabularies cut texts into words."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
