@@ -58,4 +58,24 @@ SELECT conv_id AS pair_id, CAST(count_if(common) AS INTEGER) AS n_common,
 FROM shown GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op4_preference_format": _CHAT, "op10_url_filter": _URL}
+_BM25 = r"""
+WITH words AS (
+  SELECT doc_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS w FROM documents
+), tf AS (
+  SELECT doc_id, w, count(*) AS tf FROM words GROUP BY ALL
+), size AS (
+  SELECT doc_id, count(*) AS len FROM words GROUP BY 1
+), corpus AS (
+  SELECT count(*) AS n, (SELECT count(*) FROM words) / count(*) AS mean FROM documents
+), idf AS (
+  SELECT w, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, corpus GROUP BY w, n
+), scored AS (
+  SELECT q.doc_id AS query_id, d.doc_id, round(sum(q.tf * idf * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
+  FROM tf q JOIN idf USING (w) JOIN tf d USING (w) JOIN size ON size.doc_id = d.doc_id, corpus
+  WHERE q.doc_id % 50 = 0 AND q.doc_id <> d.doc_id GROUP BY ALL
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10
+"""
+
+ORACLES: dict[str, str] = {"op8_topk_search": _BM25, "op4_preference_format": _CHAT, "op10_url_filter": _URL}

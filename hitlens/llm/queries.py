@@ -13,6 +13,7 @@ from hitlens.llm.quality_rules import quality_rules
 from hitlens.llm.sentencepieces import encode_documents
 from hitlens.llm.tokenizers import model_file, word_pattern
 from hitlens.llm.token_scan import document_lengths, write_token_files
+from hitlens.llm.topk_search import top_k
 from hitlens.llm.url_filter import judge_urls
 from hitlens.llm.warc import archive_and_read
 
@@ -62,6 +63,12 @@ def op7_source_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op8_topk_search(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    queries = documents.filter(F.col("doc_id") % 50 == 0).withColumnRenamed("doc_id", "query_id")
+    return top_k(documents, queries, k=10)
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -82,6 +89,7 @@ QUERIES = {
         op5_near_duplicates,
         op6_token_counts,
         op7_source_mixing,
+        op8_topk_search,
         op9_quality_rules,
         op10_url_filter,
     )
