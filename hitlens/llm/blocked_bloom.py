@@ -57,11 +57,15 @@ def with_maybe(rows: DataFrame, key: str, listed: DataFrame, flag: str) -> DataF
     return probed.withColumn(flag, F.coalesce(hit, F.lit(False))).select(*(F.col(f"`{c}`") for c in rows.columns), flag)
 
 
+def maybe_listed(rows: DataFrame, key: str, listed: DataFrame) -> DataFrame:
+    """The rows whose key passes the filter of listed: all that are listed, few others."""
+    flag = f"{TEMP}maybe"
+    return with_maybe(rows, key, listed, flag).filter(flag).drop(flag)
+
+
 def only_listed(rows: DataFrame, key: str, listed: DataFrame) -> DataFrame:
     """The rows whose key is listed: rows that miss the filter are not shuffled."""
-    flag = f"{TEMP}maybe"
-    maybe = with_maybe(rows, key, listed, flag).filter(flag).drop(flag)
-    return maybe.join(listed.toDF(f"{TEMP}key"), F.col(f"`{key}`") == F.col(f"{TEMP}key"), "left_semi")
+    return maybe_listed(rows, key, listed).join(listed.toDF(f"{TEMP}key"), F.col(f"`{key}`") == F.col(f"{TEMP}key"), "left_semi")
 
 
 def without_listed(rows: DataFrame, key: str, listed: DataFrame) -> DataFrame:

@@ -11,13 +11,13 @@ full shingle sets confirm every link that counts.
 Skew. Texts with the same set collapse into a class first, by an aggregation
 with map-side combine, so thousands of copies are one node. Nodes are numbered
 at random (a bijection of doc_id). Within a band's bucket every member is tried
-against one hub, the smallest node, which a group of near copies shares in most
-of its buckets; members that are then in another component than a second,
-random hub are tried against that one. Both are linear in the bucket. Buckets
-whose members are even then in different components are compared in blocks of
-about BLOCK members, across components only: each task holds two blocks, and
-only pairs that the likelihood keeps are emitted, each in its first common
-bucket. No bucket is capped.
+against two hubs, the smallest and the largest node, which a group of near
+copies shares in most of its buckets: linear in the bucket, and few pairs.
+Buckets whose members are then in different components are compared in blocks
+of about BLOCK members, across components only: a task holds two blocks with
+their texts, confirms the pairs that the likelihood keeps (each in its first
+common bucket), and emits a link only where it joins two components, so fewer
+links than members. No bucket is capped.
 
 Recall. A pair at exactly the threshold of 0.8 meets in no band with a
 probability of (1 - 0.8^5)^40 = 1.3e-7.
@@ -30,14 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitlens.llm.blocked_bloom import only_listed, without_listed
+from hitlens.llm.blocked_bloom import maybe_listed, only_listed, without_listed
 from hitlens.llm.common import small_batches, stage
 from hitlens.llm.components import components
-from hitlens.llm.textkit import U64, mix, shingles, utf8, word_hashes
+from hitlens.llm.textkit import U64, mix, shingles, unmix, utf8, word_hashes
 
 M, ROWS = 200, 5
 BASE, RATE, Q = 1.001, 20.0, 65534
-BLOCK = 256
+BLOCK, BLOCK_WORDS = 256, 1 << 19
+SALT = U64(0x452821E638D01377)
 #: A similarity estimate from M registers has a standard error of at most
 #: 0.0283 at 0.8: pairs 5 errors below the threshold are dropped (3e-7).
 SLACK = 5 * 0.0283
@@ -110,6 +111,15 @@ def _sets_of(column, k: int):
     return shingles(*word_hashes(*utf8(column)), k)
 
 
+def _node(doc_ids: np.ndarray) -> np.ndarray:
+    """A random number for each doc_id, one to one."""
+    return mix(doc_ids.astype(np.int64).view(U64) ^ SALT).view(np.int64)
+
+
+def _doc_id(nodes: np.ndarray) -> np.ndarray:
+    return (unmix(nodes.astype(np.int64).view(U64)) ^ SALT).view(np.int64)
+
+
 def sketch(documents: DataFrame, k: int) -> DataFrame:
     """doc_id, n (set size), f1, f2 (128-bit fingerprint of the set), node (a
     random number for doc_id, one to one), regs (registers)."""
@@ -124,7 +134,7 @@ def sketch(documents: DataFrame, k: int) -> DataFrame:
             for out, salt in zip(prints, (0x243F6A8885A308D3, 0x13198A2E03707344)):
                 if len(filled):
                     out[filled] = mix(np.add.reduceat(mix(found ^ U64(salt)), at[:-1][filled]) + counts[filled].astype(U64))
-            nodes = mix(batch.column(0).fill_null(0).to_numpy().astype(np.int64).view(U64) ^ U64(0x452821E638D01377)).view(np.int64)
+            nodes = _node(batch.column(0).fill_null(0).to_numpy())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts), *(pa.array(x.view(np.int64)) for x in prints), pa.array(nodes), pa.array([r.tobytes() for r in regs], pa.binary())],
                 names=["doc_id", "n", "f1", "f2", "node", "regs"],
@@ -161,7 +171,8 @@ def _near(ra, rb, na, nb, least: float) -> np.ndarray:
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) that may reach the similarity `least` by their registers."""
+    """The pairs of nodes (a, b) that may reach the similarity `least` by their
+    registers, as pairs of doc_ids."""
 
     def run(batches):
         for batch in batches:
@@ -169,19 +180,20 @@ def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
                 continue
             ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, M) for c in ("ra", "rb"))
             na, nb = (batch.column(c).to_numpy().astype(float) for c in ("na", "nb"))
-            yield batch.select(["a", "b"]).filter(pa.array(_near(ra, rb, na, nb, least)))
+            yield _as_ids(*(batch.column(c).to_numpy()[_near(ra, rb, na, nb, least)] for c in ("a", "b")))
 
-    of = only_listed(classes.select("node", "n", "regs"), "node", _ends(pairs))
-    joined = pairs.join(of.toDF("a", "na", "ra"), "a").join(of.toDF("b", "nb", "rb"), "b")
+    of = classes.select("node", "n", "regs")
+    joined = pairs.join(of.toDF("b", "nb", "rb"), "b").join(of.toDF("a", "na", "ra"), "a")
     return joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _as_ids(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(_doc_id(a)), pa.array(_doc_id(b))], names=["a", "b"])
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets have 100 * intersection >= percent * union."""
+def _verified(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs of doc_ids whose full shingle sets have
+    100 * intersection >= percent * union. pairs is staged."""
 
     def run(batches):
         for batch in batches:
@@ -190,73 +202,111 @@ def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, k: int
             (ea, oa), (eb, ob) = (_sets_of(batch.column(c), k) for c in ("ta", "tb"))
             good = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
-                x, y = ea[oa[i] : oa[i + 1]], eb[ob[i] : ob[i + 1]]
-                if len(x) and len(y) and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    both = np.sort(np.concatenate((x, y)))
-                    common = int((both[1:] == both[:-1]).sum())
-                    good[i] = 100 * common >= percent * (len(x) + len(y) - common)
+                good[i] = _linked(ea[oa[i] : oa[i + 1]], eb[ob[i] : ob[i + 1]], percent)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    wanted = stage(classes.select("node", "doc_id").join(_ends(pairs), "node", "left_semi"), "wanted")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = only_listed(rows, "doc_id", wanted.select("doc_id")).join(wanted, "doc_id").select("node", "text")
-    joined = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+    # texts in no pair are not shuffled; the joins below are exact
+    texts = maybe_listed(rows, "doc_id", pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    joined = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """buckets with component, without the buckets that lie in one component."""
-    rows = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    return rows.join(several, "key", "left_semi")
+def _with_nodes(labels: DataFrame) -> DataFrame:
+    """labels (doc_id, component) with the doc_id's node in its place."""
 
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_node(batch.column(0).to_numpy())), batch.column(1)], names=["node", "component"])
 
-def _second_hubs(rows: DataFrame) -> DataFrame:
-    """Pairs of a bucket's members with a random one of another component."""
-    second = rows.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", "key")).alias("second"))
-    pairs = rows.join(second, "key").filter((F.col("component") != F.col("second.component")) & (F.col("node") != F.col("hub")) & (F.col("second.node") != F.col("hub")))
-    return pairs.select(F.least("node", "second.node").alias("a"), F.greatest("node", "second.node").alias("b")).distinct()
+    return labels.select("node", "component").mapInArrow(run, "node long, component long")
 
 
-def _across(rows: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Likely pairs within a bucket and across components, compared block by block."""
-    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    nodes = rows.select("node").distinct()
+def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """buckets with component, without the buckets that lie in one component.
+    A node without a label is a component of its own."""
+    own = F.struct(F.coalesce("component", "node").alias("c"), F.col("component").isNull().alias("alone"))
+    rows = buckets.join(labels, "node", "left").withColumn("component", own)
+    several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    return rows.join(several.select("key"), "key")
+
+
+def _across(rows: DataFrame, classes: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) of doc_ids within a bucket and across components, compared
+    block by block: of those that exist as many as join the components."""
+    least = percent / 100 - SLACK
+    wanted = stage(classes.select("node", "doc_id", "n", "regs").join(rows.select("node").distinct(), "node", "left_semi"), "wanted")
+    plain = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = wanted.join(maybe_listed(plain, "doc_id", wanted.select("doc_id")), "doc_id").select("node", "n", "regs", "text")
+    sizes = rows.join(wanted.select("node", "n"), "node").groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_WORDS)).cast("int").alias("blocks"))
     members = (
-        rows.join(blocks, "key")
-        .join(only_listed(classes.select("node", "n", "regs"), "node", nodes), "node")
+        rows.join(sizes, "key")
+        .join(texts, "node")
         .withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-        .groupBy("key", "hub", "block", "blocks")
-        .agg(F.collect_list(F.struct("node", "component", "n", "regs")).alias("members"))
+        .groupBy("key", "hub", "far", "block", "blocks")
+        .agg(F.collect_list(F.struct("node", F.col("component.c").alias("c"), "component.alone", "n", "regs", "text")).alias("members"))
     )
-    left = members.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1)))
-    right = members.select("key", F.col("block").alias("other"), F.col("members").alias("others"))
+    nothing = F.lit(None).cast(members.schema["members"].dataType)
+    alone = members.withColumn("others", nothing)
+    several = members.filter("blocks > 1")
+    left = several.withColumn("other", F.explode(F.sequence(F.col("block") + 1, F.col("blocks")))).filter("other < blocks")
+    both = left.join(several.select("key", F.col("block").alias("other"), F.col("members").alias("others")), ["key", "other"])
+    columns = ["key", "hub", "far", "members", "others"]
 
     def read(value):
         flat = value.flatten()
-        return [flat.field(i).to_numpy() for i in range(3)] + [np.frombuffer(b"".join(flat.field(3).to_pylist()), np.uint16).reshape(-1, M)]
+        node, c, lone, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+        # a lone node's number may be another component's: tell them apart
+        return node, c * 2 + lone, n.astype(float), np.frombuffer(b"".join(flat.field(4).to_pylist()), np.uint16).reshape(-1, M), flat.field(5)
 
     def run(batches):
         for batch in batches:
             found = []
             for i in range(batch.num_rows):
-                (x, cx, nx, rx), (y, cy, ny, ry) = (read(batch.column(c).slice(i, 1)) for c in ("members", "others"))
-                band, hub = batch.column("key")[i].as_py() & 63, batch.column("hub")[i].as_py()
-                same = batch.column("block")[i] == batch.column("other")[i]
-                for j in np.flatnonzero(x != hub).tolist():
-                    rest = np.flatnonzero((cy != cx[j]) & (y != hub) & ((y > x[j]) if same else True))
+                x, cx, nx, rx, tx = read(batch.column("members").slice(i, 1))
+                same = not batch.column("others")[i].is_valid
+                y, cy, ny, ry, ty = (x, cx, nx, rx, tx) if same else read(batch.column("others").slice(i, 1))
+                cx, cy = cx.copy(), cy.copy()
+                band, hubs = batch.column("key")[i].as_py() & 63, [batch.column(c)[i].as_py() for c in ("hub", "far")]
+                sets: dict[tuple[bool, int], np.ndarray] = {}
+
+                def of(right: bool, j: int) -> np.ndarray:
+                    if (right, j) not in sets:
+                        sets[right, j] = _sets_of((ty if right else tx).slice(j, 1), k)[0]
+                    return sets[right, j]
+
+                tried = np.isin(y, hubs)
+                for j in np.flatnonzero(~np.isin(x, hubs)).tolist():
+                    rest = np.flatnonzero((cy != cx[j]) & ~tried & ((y > x[j]) if same else True))
                     if not len(rest):
                         continue
                     equal = rx[j] == ry[rest]
                     first = equal[:, : band * ROWS].reshape(len(rest), band, ROWS).all(axis=2).any(axis=1)
-                    rest = rest[~first & (equal.sum(axis=1) >= least * M)]
+                    likely = equal.sum(axis=1)
+                    keep = ~first & (likely >= least * M)
+                    rest, likely = rest[keep], likely[keep]
                     if len(rest):
-                        rest = rest[_near(rx[j][None], ry[rest], nx[j : j + 1].astype(float), ny[rest].astype(float), least)]
-                        found += [(min(x[j], o), max(x[j], o)) for o in y[rest].tolist()]
-            a, b = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                        near = _near(rx[j][None], ry[rest], nx[j : j + 1], ny[rest], least)
+                        rest, likely = rest[near], likely[near]
+                    for o in rest[np.argsort(-likely, kind="stable")].tolist():
+                        if cy[o] != cx[j] and _linked(of(False, j), of(not same, o), percent):
+                            found.append((x[j], y[o]))
+                            old, new = cy[o], cx[j]
+                            cx[cx == old] = new
+                            cy[cy == old] = new
+            yield _as_ids(*np.array(found, np.int64).reshape(-1, 2).T)
+
+    work = alone.select(*columns).unionByName(both.select(*columns))
+    return work.mapInArrow(run, "a long, b long")
+
 
-    return left.join(right, ["key", "other"]).select("key", "hub", "block", "other", "members", "others").mapInArrow(run, "a long, b long")
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether sorted sets have 100 * |x & y| >= percent * |x | y|."""
+    if not len(x) or not len(y) or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.sort(np.concatenate((x, y)))
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -279,25 +329,20 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     first = F.min_by(F.struct("node", "n", "regs"), "doc_id").alias("first")
     classes = stage(named.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"), first).select("f1", "f2", "doc_id", "first.*"), "classes")
     bands = _bands(classes)
-    hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).filter("size > 1")
+    hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub <> far")
     buckets = stage(bands.join(hubs, "key"), "buckets")
     least = percent / 100 - SLACK
-    stars = stage(buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = stage(_verified(stage(_likely(stars, classes, least), "near"), classes, documents, k, percent), "links")
+    tries = F.explode(F.array(F.struct(F.col("hub").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("far").alias("b")))).alias("x")
+    stars = buckets.select(tries).select("x.*").filter("a <> b").distinct()
+    links = stage(_verified(stage(_likely(stars, classes, least), "near"), documents, k, percent), "links")
     labels = components(links)
-    rest = stage(_labelled(buckets.filter("size > 2"), labels), "rest")
-    second = stage(_second_hubs(rest), "second")
-    if not second.isEmpty():
-        links = stage(links.unionByName(_verified(stage(_likely(second, classes, least), "near"), classes, documents, k, percent)), "links")
-        labels = components(links)
-        across = stage(_across(_labelled(rest.drop("component"), labels), classes, least), "across")
-        if not across.isEmpty():
-            links = links.unionByName(_verified(across, classes, documents, k, percent))
-            labels = components(links)
-    # a component's number is its smallest doc_id
-    joined = classes.select("f1", "f2", "doc_id", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    groups = joined.join(smallest, "component").select("f1", "f2", "component_id")
+    # the pairs of a bucket of up to three members were all tried
+    rest = stage(_labelled(buckets.filter("node <> hub AND node <> far"), _with_nodes(labels)), "rest")
+    if not rest.isEmpty():
+        more = stage(_across(rest, classes, documents, k, percent), "links")
+        if not more.isEmpty():
+            labels = components(links.unionByName(more))
+    groups = classes.select("f1", "f2", F.col("doc_id").alias("node")).join(labels, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component_id"))
     # only ids and fingerprints of the rows move
     out = sketches.select("doc_id", "n", "f1", "f2").join(groups, ["f1", "f2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
