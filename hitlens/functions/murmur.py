@@ -6,12 +6,18 @@ length are a byte matrix and are hashed together with NumPy's 64-bit words.
 
 from __future__ import annotations
 
+import sys
 from decimal import Decimal
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
+
+# executors get the UDF by value and need not have this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _C1, _C2 = np.uint64(0x87C37B91114253D5), np.uint64(0x4CF5AD432745937F)
 
@@ -65,7 +71,7 @@ def murmur_of(values: list[str | None], seed: int = 42) -> list[int | None]:
     return out
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _murmur(values: pd.Series) -> pd.Series:
     return pd.Series(murmur_of(values.tolist()), dtype="Int64")
 
