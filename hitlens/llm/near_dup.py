@@ -144,7 +144,8 @@ def sketch(documents: DataFrame, k: int) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """key, node: a row for each band of each class; the key ends in the band's number."""
+    """key, node, n: a row for each band of each class; the key ends in the band's
+    number, n is the size of the class's set."""
 
     def run(batches):
         for batch in batches:
@@ -154,9 +155,9 @@ def _bands(classes: DataFrame) -> DataFrame:
             coefficient = mix(np.arange(11, 11 + ROWS, dtype=U64)) | U64(1)
             band = np.arange(M // ROWS, dtype=U64)
             key = mix((regs * coefficient).sum(axis=2, dtype=U64) ^ mix(band)) & ~U64(63) | band
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), M // ROWS))], names=["key", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), *(pa.array(np.repeat(batch.column(c).to_numpy(), M // ROWS)) for c in ("node", "n"))], names=["key", "node", "n"])
 
-    return classes.select("node", "regs").mapInArrow(run, "key long, node long")
+    return classes.select("node", "regs", "n").mapInArrow(run, "key long, node long, n long")
 
 
 def _near(ra, rb, na, nb, least: float) -> np.ndarray:
@@ -235,10 +236,10 @@ def _across(rows: DataFrame, classes: DataFrame, documents: DataFrame, k: int, p
     """Links (a, b) of doc_ids within a bucket and across components, compared
     block by block: of those that exist as many as join the components."""
     least = percent / 100 - SLACK
-    wanted = stage(classes.select("node", "doc_id", "n", "regs").join(rows.select("node").distinct(), "node", "left_semi"), "wanted")
+    wanted = stage(classes.select("node", "doc_id", "regs").join(rows.select("node").distinct(), "node", "left_semi"), "wanted")
     plain = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = wanted.join(maybe_listed(plain, "doc_id", wanted.select("doc_id")), "doc_id").select("node", "n", "regs", "text")
-    sizes = rows.join(wanted.select("node", "n"), "node").groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_WORDS)).cast("int").alias("blocks"))
+    texts = wanted.join(maybe_listed(plain, "doc_id", wanted.select("doc_id")), "doc_id").select("node", "regs", "text")
+    sizes = rows.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_WORDS)).cast("int").alias("blocks"))
     members = (
         rows.join(sizes, "key")
         .join(texts, "node")
@@ -309,6 +310,15 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
+def _sparse(links: DataFrame) -> DataFrame:
+    """Links (a: hub, b: member) with the same components and few more rows than
+    members: a member keeps one hub, and its hubs are linked in a row. A member
+    has at most two hubs a band."""
+    hubs = links.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("hubs"))
+    rows = F.zip_with(F.concat(F.array("b"), "hubs"), F.col("hubs"), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+    return hubs.select(F.explode(rows).alias("x")).select("x.*").filter("b IS NOT NULL").distinct()
+
+
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """For each row of documents (doc_id, text; other columns are ignored):
     doc_id, n_shingles, component_id, kept.
@@ -332,9 +342,10 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub <> far")
     buckets = stage(bands.join(hubs, "key"), "buckets")
     least = percent / 100 - SLACK
-    tries = F.explode(F.array(F.struct(F.col("hub").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("far").alias("b")))).alias("x")
+    tries = F.explode(F.array(*(F.struct(F.col(c).alias("a"), F.col("node").alias("b")) for c in ("hub", "far")))).alias("x")
     stars = buckets.select(tries).select("x.*").filter("a <> b").distinct()
     links = stage(_verified(stage(_likely(stars, classes, least), "near"), documents, k, percent), "links")
+    links = stage(_sparse(links), "links")
     labels = components(links)
     # the pairs of a bucket of up to three members were all tried
     rest = stage(_labelled(buckets.filter("node <> hub AND node <> far"), _with_nodes(labels)), "rest")
