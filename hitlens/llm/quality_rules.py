@@ -118,7 +118,7 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def with_rules(documents: DataFrame, known: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
-    """documents with the columns TEMP + MEASURES (and others that begin with TEMP)."""
+    """documents with a struct TEMP + "measures" of MEASURES (and other columns that begin with TEMP)."""
     out = _measured(documents)
     out = _add(out, hashes=F.transform(_c("words"), lambda w: F.xxhash64(w)))
     h = _c("hashes")
@@ -145,7 +145,11 @@ def with_rules(documents: DataFrame, known: dict[str, tuple[list[float], list[fl
     )
     failed = (_c("n_words") < 10) | (100 * _c("n_repeat_words") > 20 * _c("n_words"))
     fits = (_c("n_words") < MIN_WORDS) | ((_c("class_distance") <= MAX_CLASS_DISTANCE) & (_c("word_distance") <= MAX_WORD_DISTANCE))
-    return _add(out, base_failed=failed, kept=~failed & fits)
+    out = _add(out, base_failed=failed, kept=~failed & fits)
+    # the row number is a barrier: without it a later filter on a measure would be
+    # pushed down through all steps, each written out anew for every use
+    measures = F.struct(*(_c(k).alias(k) for k in MEASURES))
+    return _add(out, measures=F.when(F.monotonically_increasing_id() >= 0, measures))
 
 
 def quality_rules(documents: DataFrame) -> DataFrame:
@@ -160,13 +164,10 @@ def quality_rules(documents: DataFrame) -> DataFrame:
     kept as they are; other columns, whatever their names, are ignored.
     """
     rows = documents.select("doc_id", "text", "lang")
-    return with_rules(rows, references(rows)).select("doc_id", *(_c(k).alias(k) for k in MEASURES))
+    return with_rules(rows, references(rows)).select("doc_id", *(F.col(f"{TEMP}measures.{k}").alias(k) for k in MEASURES))
 
 
 def keep_by_rules(documents: DataFrame) -> DataFrame:
     """The rows of documents that the rules keep, with all their columns."""
     judged = with_rules(documents, references(documents))
-    # the row number keeps the optimizer from writing all steps anew into the
-    # filter's condition, once for every use of each
-    numbered = _add(judged, row=F.monotonically_increasing_id())
-    return numbered.filter(_c("kept") & (_c("row") >= 0)).select(*(F.col(f"`{c}`") for c in documents.columns))
+    return judged.filter(f"{TEMP}measures.kept").select(*(F.col(f"`{c}`") for c in documents.columns))
