@@ -13,6 +13,8 @@ one hash set) is the only kind that pays for sorting its windows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,9 @@ CLASSES = {"upper": r"\p{Lu}", "accented": r"[\p{L}&&\P{Lu}]", "digit": r"\p{N}"
 
 MIN_WORDS = 50
 MAX_CLASS_DISTANCE = 0.22
-MAX_WORD_DISTANCE = 0.60
+#: A language's limit for the word distance, as a part of the distance that a
+#: text without any common word has from its reference.
+MAX_WORD_PART = 0.95
 #: A language needs so many documents (of MIN_WORDS words) to have a reference.
 MIN_REFERENCE = 5
 
@@ -114,6 +118,15 @@ def _distance(p: Column, q: list[float]) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda x, y: x + y) / 2, F.lit(0.0)))
 
 
+def word_limit(q: list[float]) -> float:
+    """The largest word distance from the reference q that still passes: less than
+    that of a text with not one common word, whose shares are 0, ..., 0, 1."""
+    rest = q[-1]
+    without = math.sqrt(max((math.log2(2 / (1 + rest)) + (rest * math.log2(2 * rest / (1 + rest)) if rest > 0 else 0) + sum(q[:-1])) / 2, 0))
+    # a reference without common words says nothing of words
+    return MAX_WORD_PART * without if without > 1e-6 else 1.0
+
+
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"]
 
 
@@ -132,9 +145,16 @@ def with_rules(documents: DataFrame, known: dict[str, tuple[list[float], list[fl
     at = _c("places")
     covered = F.aggregate(F.transform(at, lambda p, i: F.least(F.lit(5), F.coalesce(F.get(at, i + 1) - p, F.lit(5)))), F.lit(0), lambda x, y: x + y)
     out = _add(out, lines=F.filter(F.split(_c("text"), "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
-    near = {k: F.when(_c("n") >= MIN_WORDS, F.least(*(_distance(_c(k[0]), q[k[0] == "w"]) for q in known.values()), F.lit(1.0)) if known else F.lit(0.0)) for k in ("p", "w")}
+    far = {f"far_{k}": F.when(_c("n") >= MIN_WORDS, F.array(*(_distance(_c(k), q[k == "w"]) for q in known.values()))) for k in ("p", "w")}
+    out = _add(out, **far)
+    near = {k: F.when(_c("n") >= MIN_WORDS, F.array_min(_c("far_" + k)) if known else F.lit(0.0)) for k in ("p", "w")}
+    # both distances must fit the same language
+    limits = F.array(*(F.lit(word_limit(w)) for _, w in known.values()))
+    word_fits = F.zip_with(_c("far_w"), limits, lambda d, most: d <= most)
+    both = F.exists(F.zip_with(_c("far_p"), word_fits, lambda d, fit: (d <= MAX_CLASS_DISTANCE) & fit), lambda x: x)
     out = _add(
         out,
+        fits=(_c("n") < MIN_WORDS) | both if known else F.lit(True),
         n_words=_c("n").cast("long"),
         word_chars=_c("word_chars").cast("long"),
         n_symbols=_c("symbols"),
@@ -144,8 +164,7 @@ def with_rules(documents: DataFrame, known: dict[str, tuple[list[float], list[fl
         word_distance=near["w"],
     )
     failed = (_c("n_words") < 10) | (100 * _c("n_repeat_words") > 20 * _c("n_words"))
-    fits = (_c("n_words") < MIN_WORDS) | ((_c("class_distance") <= MAX_CLASS_DISTANCE) & (_c("word_distance") <= MAX_WORD_DISTANCE))
-    out = _add(out, base_failed=failed, kept=~failed & fits)
+    out = _add(out, base_failed=failed, kept=~failed & _c("fits"))
     # the row number is a barrier: without it a later filter on a measure would be
     # pushed down through all steps, each written out anew for every use
     measures = F.struct(*(_c(k).alias(k) for k in MEASURES))

@@ -200,6 +200,13 @@ def test_rules_keep_all_columns(spark):
     assert quality_rules(df.limit(0)).count() == 0
 
 
+def test_rules_reject_clean_gibberish(spark, docs):
+    rng = random.Random(11)
+    rows = [(-i, " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) + ("." if j % 12 == 11 else "") for j in range(n)), "en") for i, n in enumerate((60, 200, 3000), 1)]
+    out = quality_rules(docs.select("doc_id", "text", "lang").union(spark.createDataFrame(rows, "doc_id long, text string, lang string"))).filter("doc_id < 0").collect()
+    assert len(out) == 3 and all(not r.base_failed and r.class_distance <= 0.22 and not r.kept for r in out)
+
+
 def test_targets():
     assert target_sizes({"a": 60, "b": 60, None: 60}, [1, 2, 3], 3) == {"a": 30, "b": 60, None: 90}
     got = target_sizes({"a": 100, "b": 1}, [1, 3], 3)
