@@ -17,6 +17,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: White space of a word boundary, and the most common words of each language.
 SPACES = r"[\x20\x09-\x0D]"
@@ -27,6 +28,8 @@ COMMON_WORDS = {
     "es": "de la que el en y los se del las un por con no una su para es".split(),
 }
 WORDS = sorted({w for words in COMMON_WORDS.values() for w in words})
+#: So many common words are counted for a language that has no list here.
+LEARNED_WORDS = 18
 #: Character classes, counted one after the other in what is no ASCII lower-case letter.
 CLASSES = {"upper": r"\p{Lu}", "accented": r"[\p{L}&&\P{Lu}]", "digit": r"\p{N}", "stop": r"[.,;:?'’-]", "shout": "!", "symbol": r"[#*$%&|<>]", "other": r"[^\p{L}\p{N}.,;:?'’!#*$%&|<>-]"}
 
@@ -60,16 +63,38 @@ def _sum(array: Column) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda x, y: x + y)
 
 
-def _measured(documents: DataFrame) -> DataFrame:
+def common_words(documents: DataFrame) -> list[str]:
+    """The words of COMMON_WORDS and, for each other lang with MIN_REFERENCE
+    documents of MIN_WORDS words, the LEARNED_WORDS words of the largest mean
+    share of a document: each document counts alike, however long it is.
+
+    The driver gets LEARNED_WORDS words for each of these languages.
+    """
+    others = documents.filter(F.col("lang").isNotNull() & ~F.col("lang").isin(list(COMMON_WORDS)))
+    # reads the column lang alone
+    many = [r.lang for r in others.groupBy("lang").count().filter(F.col("count") >= MIN_REFERENCE).select("lang").collect()]
+    if not many:
+        return WORDS
+    words = F.array_remove(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACES + "+"), "")
+    rows = others.filter(F.col("lang").isin(many)).select("lang", words.alias("words")).filter(F.size("words") >= MIN_WORDS)
+    known = rows.groupBy("lang").count().filter(F.col("count") >= MIN_REFERENCE).select("lang")
+    each = rows.select("lang", (1 / F.size("words")).alias("part"), F.explode("words").alias("word")).filter(F.col("word").rlike(r"^\p{L}+$"))
+    shares = each.groupBy("lang", "word").agg(F.round(F.sum("part"), 6).alias("share")).join(known, "lang", "left_semi")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("share"), "word"))
+    best = shares.withColumn("place", place).filter(F.col("place") <= LEARNED_WORDS).select("word").distinct()
+    return sorted({*WORDS, *(r.word for r in best.collect())})
+
+
+def _measured(documents: DataFrame, common: list[str]) -> DataFrame:
     """documents with words, n, word_chars, symbols, and the shares by character
-    class p (ASCII lower-case last) and by common word w (all other words last)."""
+    class p (ASCII lower-case last) and by word w of common (all other words last)."""
     out = _add(documents, text=F.coalesce(F.col("text").cast("string"), F.lit("")))
     out = _add(
         out,
         words=F.array_remove(F.split(_c("text"), SPACES + "+"), ""),
         rest=F.regexp_replace(_c("text"), F.lit(r"[a-z\x20\x09-\x0D]+"), F.lit("")),
     )
-    found = F.array_join(F.filter(_c("words"), lambda w: w.isin(WORDS)), "  ")
+    found = F.array_join(F.filter(_c("words"), lambda w: w.isin(common)), "  ")
     out = _add(
         out,
         n=F.size(_c("words")),
@@ -81,7 +106,7 @@ def _measured(documents: DataFrame) -> DataFrame:
         out,
         symbols=F.get(_c("classes"), F.lit(list(CLASSES).index("symbol"))).cast("long"),
         p=F.concat(_c("classes"), F.array(_c("word_chars") - F.length(_c("rest")))),
-        w=F.array(*((F.length(_c("found")) - F.length(F.replace(_c("found"), F.lit(f" {w} "), F.lit("")))) / (len(w) + 2.0) for w in WORDS)),
+        w=F.array(*((F.length(_c("found")) - F.length(F.replace(_c("found"), F.lit(f" {w} "), F.lit("")))) / (len(w) + 2.0) for w in common)),
     )
     out = _add(
         out,
@@ -91,21 +116,20 @@ def _measured(documents: DataFrame) -> DataFrame:
     return out.drop(TEMP + "rest", TEMP + "found", TEMP + "classes")
 
 
-def references(documents: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
-    """For each language of COMMON_WORDS with MIN_REFERENCE documents: the median
-    shares of the character classes and of the common words over all its
-    documents of MIN_WORDS words or more. Medians, so that the junk that the
+def references(documents: DataFrame, common: list[str]) -> dict[str, tuple[list[float], list[float]]]:
+    """For each lang with MIN_REFERENCE documents: the median shares of the
+    character classes and of the common words (common_words) over all its documents of MIN_WORDS words or more. Medians, so that the junk that the
     rules are to find does not shape the reference.
 
     The driver gets one row of medians for each of these languages.
     """
-    rows = _measured(documents.select("text", "lang").filter(F.col("lang").isin(list(COMMON_WORDS)))).filter(_c("n") >= MIN_WORDS)
+    rows = _measured(documents.select("text", "lang").filter("lang IS NOT NULL"), common).filter(_c("n") >= MIN_WORDS)
 
     def middle(array: Column, size: int) -> Column:
         return F.array(*(F.percentile_approx(F.get(array, F.lit(i)), 0.5, 1000) for i in range(size)))
 
-    sums = rows.groupBy("lang").agg(F.count("*").alias("n"), middle(_c("p"), len(CLASSES) + 1).alias("p"), middle(_c("w"), len(WORDS) + 1).alias("w"))
-    return {r.lang: ([x / sum(r.p) for x in r.p], [x / sum(r.w) for x in r.w]) for r in sums.collect() if r.n >= MIN_REFERENCE and sum(r.p) > 0 < sum(r.w)}
+    sums = rows.groupBy("lang").agg(F.count("*").alias("n"), middle(_c("p"), len(CLASSES) + 1).alias("p"), middle(_c("w"), len(common) + 1).alias("w")).filter(F.col("n") >= MIN_REFERENCE)
+    return {r.lang: ([x / sum(r.p) for x in r.p], [x / sum(r.w) for x in r.w]) for r in sums.collect() if sum(r.p) > 0 < sum(r.w)}
 
 
 def _distance(p: Column, q: list[float]) -> Column:
@@ -130,9 +154,9 @@ def word_limit(q: list[float]) -> float:
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"]
 
 
-def with_rules(documents: DataFrame, known: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
-    """documents with a struct TEMP + "measures" of MEASURES (and other columns that begin with TEMP)."""
-    out = _measured(documents)
+def with_rules(documents: DataFrame, known: dict[str, tuple[list[float], list[float]]], common: list[str]) -> DataFrame:
+    """documents, judged by the references known of the words common, with a struct TEMP + "measures" of MEASURES (and other columns that begin with TEMP)."""
+    out = _measured(documents, common)
     out = _add(out, hashes=F.transform(_c("words"), lambda w: F.xxhash64(w)))
     h = _c("hashes")
     windows = F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2), F.get(h, i + 3), F.get(h, i + 4)))
@@ -152,9 +176,10 @@ def with_rules(documents: DataFrame, known: dict[str, tuple[list[float], list[fl
     limits = F.array(*(F.lit(word_limit(w)) for _, w in known.values()))
     word_fits = F.zip_with(_c("far_w"), limits, lambda d, most: d <= most)
     both = F.exists(F.zip_with(_c("far_p"), word_fits, lambda d, fit: (d <= MAX_CLASS_DISTANCE) & fit), lambda x: x)
+    rare = F.coalesce(~F.col("lang").isin(list(known)), F.lit(False))
     out = _add(
         out,
-        fits=(_c("n") < MIN_WORDS) | both if known else F.lit(True),
+        fits=(_c("n") < MIN_WORDS) | rare | both if known else F.lit(True),
         n_words=_c("n").cast("long"),
         word_chars=_c("word_chars").cast("long"),
         n_symbols=_c("symbols"),
@@ -176,17 +201,21 @@ def quality_rules(documents: DataFrame) -> DataFrame:
     word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     class_distance, word_distance (null below MIN_WORDS words).
 
-    A null or empty text has no words and fails the base rules. A lang that is
-    null or without a word list adds to no reference; texts are compared to
-    every reference and the nearest counts, so a wrong lang does no harm. With
-    no reference at all the base rules decide. Repeated rows and null ids are
+    A null or empty text has no words and fails the base rules. Every lang with
+    MIN_REFERENCE documents has a reference; its common words are counted in
+    them if COMMON_WORDS has none. A null lang adds to no reference; texts are
+    compared to every reference and one that fits is enough, so a wrong lang
+    does no harm. With no reference at all the base rules decide, and so they
+    do for a text whose lang is too rare for a reference. Repeated rows and null ids are
     kept as they are; other columns, whatever their names, are ignored.
     """
     rows = documents.select("doc_id", "text", "lang")
-    return with_rules(rows, references(rows)).select("doc_id", *(F.col(f"{TEMP}measures.{k}").alias(k) for k in MEASURES))
+    common = common_words(rows)
+    return with_rules(rows, references(rows, common), common).select("doc_id", *(F.col(f"{TEMP}measures.{k}").alias(k) for k in MEASURES))
 
 
 def keep_by_rules(documents: DataFrame) -> DataFrame:
     """The rows of documents that the rules keep, with all their columns."""
-    judged = with_rules(documents, references(documents))
+    common = common_words(documents)
+    judged = with_rules(documents, references(documents, common), common)
     return judged.filter(f"{TEMP}measures.kept").select(*(F.col(f"`{c}`") for c in documents.columns))

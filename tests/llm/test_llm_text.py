@@ -207,6 +207,23 @@ def test_rules_reject_clean_gibberish(spark, docs):
     assert len(out) == 3 and all(not r.base_failed and r.class_distance <= 0.22 and not r.kept for r in out)
 
 
+def test_rules_learn_other_languages(spark, docs):
+    rng = random.Random(12)
+    common = "и в не на что с по как это он".split()
+
+    def word(letters):
+        return "".join(rng.choice(letters) for _ in range(rng.randint(4, 9)))
+
+    def prose(n, often):
+        return " ".join(rng.choice(common) if rng.random() < often else word("абвгдежзиклмнопрстуя") for _ in range(n))
+
+    # 1 to 20: prose; 21: prose without a lang; 22: none of its common words; 23: a rare lang, in Greek
+    rows = [(-i, prose(150, 0.3), "ru") for i in range(1, 21)] + [(-21, prose(200, 0.3), None), (-22, prose(200, 0), "ru"), (-23, " ".join(word("αβγδεζηθικλμνο") for _ in range(99)), "el")]
+    out = quality_rules(docs.select("doc_id", "text", "lang").union(spark.createDataFrame(rows, "doc_id long, text string, lang string"))).filter("doc_id < 0").collect()
+    kept = {-r.doc_id for r in out if r.kept}
+    assert len(out) == 23 and not any(r.base_failed for r in out) and kept == {*range(1, 22), 23}
+
+
 def test_targets():
     assert target_sizes({"a": 60, "b": 60, None: 60}, [1, 2, 3], 3) == {"a": 30, "b": 60, None: 90}
     got = target_sizes({"a": 100, "b": 1}, [1, 3], 3)
