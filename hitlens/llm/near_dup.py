@@ -39,6 +39,8 @@ M, ROWS = 200, 5
 BASE, RATE, Q = 1.001, 20.0, 65534
 BLOCK, BLOCK_WORDS = 256, 1 << 19
 SALT = U64(0x452821E638D01377)
+#: The column of a row's number, only inside a plan.
+ROW = "__near_row"
 #: A similarity estimate from M registers has a standard error of at most
 #: 0.0283 at 0.8: pairs 5 errors below the threshold are dropped (3e-7).
 SLACK = 5 * 0.0283
@@ -120,13 +122,18 @@ def _doc_id(nodes: np.ndarray) -> np.ndarray:
     return (unmix(nodes.astype(np.int64).view(U64)) ^ SALT).view(np.int64)
 
 
+def _numbered(documents: DataFrame) -> DataFrame:
+    """documents with ROW: doc_id, or for a row without one a number from its text."""
+    return documents.withColumn(ROW, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
+
+
 def sketch(documents: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), f1, f2 (128-bit fingerprint of the set), node (a
-    random number for doc_id, one to one), regs (registers)."""
+    """row (ROW of documents), doc_id, n (set size), f1, f2 (128-bit fingerprint of the set), node (a
+    random number for row, one to one), regs (registers)."""
 
     def run(batches):
         for batch in batches:
-            found, at = _sets_of(batch.column(1), k)
+            found, at = _sets_of(batch.column(2), k)
             counts = np.diff(at)
             regs = registers(minima(found, counts))
             filled = np.flatnonzero(counts)
@@ -134,13 +141,13 @@ def sketch(documents: DataFrame, k: int) -> DataFrame:
             for out, salt in zip(prints, (0x243F6A8885A308D3, 0x13198A2E03707344)):
                 if len(filled):
                     out[filled] = mix(np.add.reduceat(mix(found ^ U64(salt)), at[:-1][filled]) + counts[filled].astype(U64))
-            nodes = _node(batch.column(0).fill_null(0).to_numpy())
+            nodes = _node(batch.column(0).to_numpy())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts), *(pa.array(x.view(np.int64)) for x in prints), pa.array(nodes), pa.array([r.tobytes() for r in regs], pa.binary())],
-                names=["doc_id", "n", "f1", "f2", "node", "regs"],
+                [batch.column(0), batch.column(1), pa.array(counts), *(pa.array(x.view(np.int64)) for x in prints), pa.array(nodes), pa.array([r.tobytes() for r in regs], pa.binary())],
+                names=["row", "doc_id", "n", "f1", "f2", "node", "regs"],
             )
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, f1 long, f2 long, node long, regs binary")
+    return documents.select(ROW, F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "row long, doc_id long, n long, f1 long, f2 long, node long, regs binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -206,9 +213,8 @@ def _verified(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> D
                 good[i] = _linked(ea[oa[i] : oa[i + 1]], eb[ob[i] : ob[i + 1]], percent)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # texts in no pair are not shuffled; the joins below are exact
-    texts = maybe_listed(rows, "doc_id", pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    texts = maybe_listed(documents, "doc_id", pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     joined = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
@@ -237,8 +243,7 @@ def _across(rows: DataFrame, classes: DataFrame, documents: DataFrame, k: int, p
     block by block: of those that exist as many as join the components."""
     least = percent / 100 - SLACK
     wanted = stage(classes.select("node", "doc_id", "regs").join(rows.select("node").distinct(), "node", "left_semi"), "wanted")
-    plain = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = wanted.join(maybe_listed(plain, "doc_id", wanted.select("doc_id")), "doc_id").select("node", "regs", "text")
+    texts = wanted.join(maybe_listed(documents, "doc_id", wanted.select("doc_id")), "doc_id").select("node", "regs", "text")
     sizes = rows.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_WORDS)).cast("int").alias("blocks"))
     members = (
         rows.join(sizes, "key")
@@ -319,45 +324,68 @@ def _sparse(links: DataFrame) -> DataFrame:
     return hubs.select(F.explode(rows).alias("x")).select("x.*").filter("b IS NOT NULL").distinct()
 
 
-def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """For each row of documents (doc_id, text; other columns are ignored):
-    doc_id, n_shingles, component_id, kept.
-
-    Two texts are linked if 100 * |A & B| >= percent * |A | B| for their sets of
-    k-word shingles; component_id is the smallest doc_id that is reachable.
-    A null, empty or blank text has no shingles and no links. Repeated rows are
-    in one component; rows that share an id but differ in text are judged each
-    by its text. A row without doc_id is linked like any other but never is the
-    smallest: its component_id is null if no linked row has an id. kept is
-    doc_id <=> component_id, so of repeated rows each is kept (keep_one of the
-    pipeline drops repeats). An empty table gives an empty result.
-    """
-    spark = documents.sparkSession
-    small_batches(spark)
-    sketches = stage(sketch(documents, k), "sketches")
-    named = sketches.filter("n > 0 AND doc_id IS NOT NULL")
-    first = F.min_by(F.struct("node", "n", "regs"), "doc_id").alias("first")
-    classes = stage(named.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"), first).select("f1", "f2", "doc_id", "first.*"), "classes")
+def _texts(numbered: DataFrame) -> DataFrame:
+    """The texts of numbered documents by the row's number, in the column doc_id
+    of the functions above. Of copies without an id one is enough."""
+    columns = [F.col(ROW).alias("doc_id"), F.col("text").cast("string").alias("text")]
+    unnamed = numbered.filter("doc_id IS NULL").select(*columns).dropDuplicates(["doc_id"])
+    return numbered.filter("doc_id IS NOT NULL").select(*columns).unionByName(unnamed)
+
+
+def _judged(documents: DataFrame, k: int, percent: int) -> DataFrame:
+    """row, doc_id, n, component (the least row of the group, null without
+    shingles), component_id for each row of documents."""
+    numbered = _numbered(documents)
+    sketches = stage(sketch(numbered, k), "sketches")
+    apart = not sketches.filter("doc_id IS NULL AND n > 0").isEmpty()
+    texts = _texts(numbered) if apart else numbered.select(F.col(ROW).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    first = F.min_by(F.struct("node", "n", "regs"), "row").alias("first")
+    ids = sketches.filter("n > 0").groupBy("f1", "f2").agg(F.min("row").alias("row"), F.min("doc_id").alias("id"), first)
+    classes = stage(ids.select("f1", "f2", F.col("row").alias("doc_id"), "id", "first.*"), "classes")
     bands = _bands(classes)
     hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub <> far")
     buckets = stage(bands.join(hubs, "key"), "buckets")
     least = percent / 100 - SLACK
     tries = F.explode(F.array(*(F.struct(F.col(c).alias("a"), F.col("node").alias("b")) for c in ("hub", "far")))).alias("x")
     stars = buckets.select(tries).select("x.*").filter("a <> b").distinct()
-    links = stage(_verified(stage(_likely(stars, classes, least), "near"), documents, k, percent), "links")
+    links = stage(_verified(stage(_likely(stars, classes, least), "near"), texts, k, percent), "links")
     links = stage(_sparse(links), "links")
     labels = components(links)
     # the pairs of a bucket of up to three members were all tried
     rest = stage(_labelled(buckets.filter("node <> hub AND node <> far"), _with_nodes(labels)), "rest")
     if not rest.isEmpty():
-        more = stage(_across(rest, classes, documents, k, percent), "links")
+        more = stage(_across(rest, classes, texts, k, percent), "links")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
-    groups = classes.select("f1", "f2", F.col("doc_id").alias("node")).join(labels, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component_id"))
+    groups = classes.select("f1", "f2", "id", F.col("doc_id").alias("node")).join(labels, "node", "left").select("f1", "f2", "id", F.coalesce("component", "node").alias("component"))
+    if apart:
+        # a row's number need not be an id
+        groups = stage(groups, "groups")
+        groups = groups.drop("id").join(groups.groupBy("component").agg(F.min("id").alias("id")), "component")
+    else:
+        groups = groups.withColumn("id", F.col("component"))
     # only ids and fingerprints of the rows move
-    out = sketches.select("doc_id", "n", "f1", "f2").join(groups, ["f1", "f2"], "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = sketches.select("row", "doc_id", "n", "f1", "f2").join(groups, ["f1", "f2"], "left")
+    component, component_id = F.when(F.col("n") > 0, F.col("component")), F.when(F.col("n") > 0, F.col("id")).otherwise(F.col("doc_id"))
+    return out.select("row", "doc_id", "n", component.alias("component"), component_id.alias("component_id"))
+
+
+def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """For each row of documents (doc_id, text; other columns are ignored):
+    doc_id, n_shingles, component_id, kept.
+
+    Two texts are linked if 100 * |A & B| >= percent * |A | B| for their sets of
+    k-word shingles; component_id is the smallest doc_id that is reachable.
+    A null, empty or blank text has no shingles and no links. Repeated rows are
+    in one component; rows that share an id but differ in text are judged each
+    by its text. A row without doc_id is linked like any other but never is the
+    smallest: its component_id is null if no linked row has an id. kept is
+    doc_id <=> component_id, so of repeated rows each is kept (keep_one of the
+    pipeline drops repeats). An empty table gives an empty result.
+    """
+    small_batches(documents.sparkSession)
+    out = _judged(documents.select("doc_id", "text"), k, percent)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -90,6 +90,19 @@ def test_near_duplicates_odd_rows(spark):
     assert near_duplicates(df.limit(0), 4).count() == 0
 
 
+def varied(words, *places):
+    return " ".join(f"v{i}" if i in places else w for i, w in enumerate(words))
+
+
+def test_near_duplicates_link_through_rows_without_id(spark):
+    # similarities: a, b 0.76; a, middle and middle, b 0.87: only the rows without an id join the ends
+    words, lone = [f"w{i}" for i in range(300)], [f"u{i}" for i in range(300)]
+    a, b, middle = varied(words), varied(words, 20, 60, 100, 140, 180, 220, 240, 260, 270, 280), varied(words, 20, 60, 100, 140, 180)
+    rows = [(5, a), (9, b), (None, middle), (None, middle), (None, varied(lone)), (None, varied(lone, 50)), (7, "a b c d e")]
+    out = Counter((r.doc_id, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect())
+    assert out == {(5, 5, True): 1, (9, 5, False): 1, (None, 5, False): 2, (None, None, True): 2, (7, 7, True): 1}
+
+
 def test_sketches_estimate_and_merge():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 3000).astype(np.uint64)
