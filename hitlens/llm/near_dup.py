@@ -122,9 +122,15 @@ def _doc_id(nodes: np.ndarray) -> np.ndarray:
     return (unmix(nodes.astype(np.int64).view(U64)) ^ SALT).view(np.int64)
 
 
-def _numbered(documents: DataFrame) -> DataFrame:
-    """documents with ROW: doc_id, or for a row without one a number from its text."""
-    return documents.withColumn(ROW, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
+def _numbered(documents: DataFrame, clashing: DataFrame | None = None) -> DataFrame:
+    """documents with ROW: doc_id, or for a row without one a number from its
+    text; for the rows that clashing (row) lists a number from both."""
+    text = F.col("text").cast("string")
+    plain = documents.withColumn(ROW, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)))
+    if clashing is None:
+        return plain
+    apart = only_listed(plain, ROW, clashing).withColumn(ROW, F.xxhash64(F.col("doc_id").cast("long"), text))
+    return without_listed(plain, ROW, clashing).unionByName(apart)
 
 
 def sketch(documents: DataFrame, k: int) -> DataFrame:
@@ -332,12 +338,20 @@ def _texts(numbered: DataFrame) -> DataFrame:
     return numbered.filter("doc_id IS NOT NULL").select(*columns).unionByName(unnamed)
 
 
-def _judged(documents: DataFrame, k: int, percent: int) -> DataFrame:
-    """row, doc_id, n, component (the least row of the group, null without
-    shingles), component_id for each row of documents."""
+def _judged(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """documents with ROW, and for each row: row (ROW), doc_id, n, component (the
+    least row of the group, null without shingles), component_id."""
     numbered = _numbered(documents)
     sketches = stage(sketch(numbered, k), "sketches")
-    apart = not sketches.filter("doc_id IS NULL AND n > 0").isEmpty()
+    # ids of different texts: their rows are told apart by their texts
+    of_set = F.struct("f1", "f2")
+    sets = sketches.groupBy("row").agg(F.min(of_set).alias("lo"), F.max(of_set).alias("hi"))
+    clashing = stage(sets.filter("lo <> hi").select("row"), "clashing")
+    clash = not clashing.isEmpty()
+    if clash:
+        numbered = _numbered(documents, clashing)
+        sketches = stage(sketch(numbered, k), "sketches")
+    apart = clash or not sketches.filter("doc_id IS NULL AND n > 0").isEmpty()
     texts = _texts(numbered) if apart else numbered.select(F.col(ROW).alias("doc_id"), F.col("text").cast("string").alias("text"))
     first = F.min_by(F.struct("node", "n", "regs"), "row").alias("first")
     ids = sketches.filter("n > 0").groupBy("f1", "f2").agg(F.min("row").alias("row"), F.min("doc_id").alias("id"), first)
@@ -367,7 +381,7 @@ def _judged(documents: DataFrame, k: int, percent: int) -> DataFrame:
     # only ids and fingerprints of the rows move
     out = sketches.select("row", "doc_id", "n", "f1", "f2").join(groups, ["f1", "f2"], "left")
     component, component_id = F.when(F.col("n") > 0, F.col("component")), F.when(F.col("n") > 0, F.col("id")).otherwise(F.col("doc_id"))
-    return out.select("row", "doc_id", "n", component.alias("component"), component_id.alias("component_id"))
+    return numbered, out.select("row", "doc_id", "n", component.alias("component"), component_id.alias("component_id"))
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -384,19 +398,30 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     pipeline drops repeats). An empty table gives an empty result.
     """
     small_batches(documents.sparkSession)
-    out = _judged(documents.select("doc_id", "text"), k, percent)
+    _, out = _judged(documents.select("doc_id", "text"), k, percent)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of documents of which one stands for each near-duplicate group,
     with all their columns: the one of the smallest doc_id, once if repeated.
-    Texts without words and rows without an id are in no group and stay."""
-    found = stage(near_duplicates(documents.select("doc_id", "text"), k, percent), "verdicts")
-    by_id = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
-    dropped = stage(by_id.filter("NOT kept").select("doc_id"), "dropped")
-    repeated = stage(by_id.filter("kept AND n > 1").select("doc_id"), "repeated")
-    out = without_listed(documents, "doc_id", dropped)
-    if repeated.isEmpty():
-        return out
-    return without_listed(out, "doc_id", repeated).unionByName(only_listed(out, "doc_id", repeated).dropDuplicates(["doc_id"]))
+    Rows that share an id but differ in text are judged each by its text. Texts
+    without words and rows without an id are in no group and stay; a blank row
+    is dropped only as a repeat of its id and text."""
+    small_batches(documents.sparkSession)
+    numbered, judged = _judged(documents, k, percent)
+    found = stage(judged.filter("doc_id IS NOT NULL"), "verdicts")
+    by_row = stage(found.groupBy("row").agg(*(F.min(c).alias(c) for c in ("doc_id", "component", "component_id")), F.count("*").alias("n")), "rows")
+    # a group's least id may have several rows of different texts: the least row stands for it
+    best = by_row.filter("component IS NOT NULL AND doc_id = component_id")
+    several = best.groupBy("component").agg(F.min("row").alias("stand"), F.count("*").alias("rows")).filter("rows > 1")
+    beside = best.join(several, "component").filter("row <> stand").select("row")
+    dropped = stage(by_row.filter("component IS NOT NULL AND doc_id <> component_id").select("row").unionByName(beside), "dropped")
+    repeated = stage(by_row.filter("n > 1 AND (component IS NULL OR doc_id = component_id)").select("row"), "repeated")
+    # a row without an id is never listed
+    key = "__near_key"
+    rows = numbered.withColumn(key, F.when(F.col("doc_id").isNotNull(), F.col(ROW)))
+    out = without_listed(rows, key, dropped)
+    if not repeated.isEmpty():
+        out = without_listed(out, key, repeated).unionByName(only_listed(out, key, repeated).dropDuplicates([key]))
+    return out.select(*(F.col(f"`{c}`") for c in documents.columns))

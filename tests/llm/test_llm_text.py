@@ -103,6 +103,20 @@ def test_near_duplicates_link_through_rows_without_id(spark):
     assert out == {(5, 5, True): 1, (9, 5, False): 1, (None, 5, False): 2, (None, None, True): 2, (7, 7, True): 1}
 
 
+def test_rows_that_share_an_id_are_judged_by_text(spark):
+    def words(c):
+        return [f"{c}{i}" for i in range(300)]
+
+    # 3 and 8 have two unlike texts each, one of 8 like 1; the texts of 6 are near each other
+    rows = [(1, varied(words("a"))), (8, varied(words("a"), 50)), (8, varied(words("b"))), (3, varied(words("c"))), (3, varied(words("d"))), (6, varied(words("e"))), (6, varied(words("e"), 9)), (4, varied(words("d"), 70)), (2, ""), (2, varied(words("f")))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df, 4).collect())
+    assert out == {(1, 297, 1): 1, (8, 297, 1): 1, (8, 297, 8): 1, (3, 297, 3): 2, (6, 297, 6): 2, (4, 297, 3): 1, (2, 0, 2): 1, (2, 297, 2): 1}
+    got = Counter((r.doc_id, r.text) for r in keep_one(df, 4).collect())
+    assert sum(got.values()) == 7 and got - Counter(rows[i] for i in (0, 2, 3, 4, 5, 6, 8, 9)) == Counter()
+    assert sum(n for (i, _), n in got.items() if i == 6) == 1
+
+
 def test_sketches_estimate_and_merge():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 3000).astype(np.uint64)
