@@ -7,9 +7,12 @@ frequencies, the number of documents and their mean length are global, so
 scores of different shards compare.
 
 Search: a task holds one shard at a time and a bounded superblock of queries.
-For a query the block maxima add up to a bound for every block; blocks are
-scored from the best bound down, and those whose bound is below the k-th best
-score so far (of all shards the task has seen) are never opened. Shards' lists
+This is a two-step block-bound filter in place of block-max WAND: for a query
+the block maxima add up to a bound for every block; the two blocks of the best
+bounds are scored and set the threshold once, and then all other blocks are
+scored but those whose bound is below it, which are never opened. There are no
+pivots, and the threshold does not rise again within a shard; it is carried on
+to the next shard of the task. Shards' lists
 merge exactly: ties are broken by doc_id everywhere.
 """
 
