@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
@@ -44,10 +46,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound the Arrow batches that go to Python workers, in rows and bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut, without copying, to at most `rows` rows and about `size`
+    bytes (one row may be larger); empty batches are left out."""
+    for batch in batches:
+        step = rows if batch.nbytes <= size else max(1, min(rows, batch.num_rows * size // batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

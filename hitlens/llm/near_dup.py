@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hitlens.llm.blocked_bloom import maybe_listed, only_listed, without_listed
-from hitlens.llm.common import small_batches, stage
+from hitlens.llm.common import sliced, stage
 from hitlens.llm.components import components
 from hitlens.llm.textkit import U64, mix, shingles, unmix, utf8, word_hashes
 
@@ -138,7 +138,7 @@ def sketch(documents: DataFrame, k: int) -> DataFrame:
     random number for row, one to one), regs (registers)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             found, at = _sets_of(batch.column(2), k)
             counts = np.diff(at)
             regs = registers(minima(found, counts))
@@ -161,7 +161,7 @@ def _bands(classes: DataFrame) -> DataFrame:
     number, n is the size of the class's set."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             if not batch.num_rows:
                 continue
             regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, M // ROWS, ROWS).astype(U64)
@@ -189,7 +189,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     registers, as pairs of doc_ids."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             if not batch.num_rows:
                 continue
             ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, M) for c in ("ra", "rb"))
@@ -210,7 +210,7 @@ def _verified(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> D
     100 * intersection >= percent * union. pairs is staged."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             if not batch.num_rows:
                 continue
             (ea, oa), (eb, ob) = (_sets_of(batch.column(c), k) for c in ("ta", "tb"))
@@ -229,7 +229,7 @@ def _with_nodes(labels: DataFrame) -> DataFrame:
     """labels (doc_id, component) with the doc_id's node in its place."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([pa.array(_node(batch.column(0).to_numpy())), batch.column(1)], names=["node", "component"])
 
     return labels.select("node", "component").mapInArrow(run, "node long, component long")
@@ -272,7 +272,7 @@ def _across(rows: DataFrame, classes: DataFrame, documents: DataFrame, k: int, p
         return node, c * 2 + lone, n.astype(float), np.frombuffer(b"".join(flat.field(4).to_pylist()), np.uint16).reshape(-1, M), flat.field(5)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             found = []
             for i in range(batch.num_rows):
                 x, cx, nx, rx, tx = read(batch.column("members").slice(i, 1))
@@ -397,7 +397,6 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     doc_id <=> component_id, so of repeated rows each is kept (keep_one of the
     pipeline drops repeats). An empty table gives an empty result.
     """
-    small_batches(documents.sparkSession)
     _, out = _judged(documents.select("doc_id", "text"), k, percent)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
@@ -408,7 +407,6 @@ def keep_one(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Rows that share an id but differ in text are judged each by its text. Texts
     without words and rows without an id are in no group and stay; a blank row
     is dropped only as a repeat of its id and text."""
-    small_batches(documents.sparkSession)
     numbered, judged = _judged(documents, k, percent)
     found = stage(judged.filter("doc_id IS NOT NULL"), "verdicts")
     by_row = stage(found.groupBy("row").agg(*(F.min(c).alias(c) for c in ("doc_id", "component", "component_id")), F.count("*").alias("n")), "rows")

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hitlens.llm.common import small_batches, stage
+from hitlens.llm.blocked_bloom import maybe_listed
+from hitlens.llm.common import sliced, stage
 from hitlens.llm.textkit import utf8
 
 STATS = 20
@@ -115,7 +116,7 @@ def isotonic(weight: np.ndarray, total: np.ndarray) -> np.ndarray:
 
 def _stats(documents: DataFrame) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             values = statistics(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v) for v in values.T)], names=["doc_id", *X])
 
@@ -209,7 +210,6 @@ def quality_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0
     rows get equal scores each; a null doc_id is kept as null (and not held
     out). Columns other than those named are ignored.
     """
-    small_batches(documents.sparkSession)
     stats = stage(_stats(documents), "stats")
     score = fit(stats, labels, max_fit_rows)
 
@@ -223,13 +223,20 @@ def quality_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, max_fit_rows: int = MAX_FIT_ROWS) -> DataFrame:
     """The rows of documents with a score of at least threshold, with all their
-    columns. The statistics of a text are computed again where it stands, so
-    that no text is shuffled."""
-    small_batches(documents.sparkSession)
-    score = fit(stage(_stats(documents), "stats"), labels, max_fit_rows)
+    columns: the scores are those of quality_scores, row by row, for null, empty
+    and repeated texts, null ids and missing labels too (without any labels all
+    scores are 0.5, so a threshold above that drops every row). An empty table
+    gives an empty one.
+
+    To fit, only texts that may have a label (Bloom filter) are measured; the
+    others are measured once, where they stand, so that no text is shuffled.
+    """
+    known = labels.filter("quality IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    score = fit(stage(_stats(maybe_listed(texts, "doc_id", known)), "stats"), labels, max_fit_rows)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             good = score(statistics(batch.column(batch.num_columns - 1))) >= threshold
             yield batch.filter(pa.array(good)).select(range(batch.num_columns - 1))
 

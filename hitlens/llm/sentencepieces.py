@@ -17,20 +17,24 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitlens.llm.common import small_batches
+from hitlens.llm.common import sliced
 
 SPACE = "▁"
 #: Segments go in step with those of about their length; longer ones have a heap.
 WIDTHS = (0, 1, 4, 6, 8, 10, 12, 16, 24, 48)
-#: Segments in the cache before it is emptied.
-CACHE = 250_000
+#: Bytes of cached segments (as _cost counts them) before the cache is emptied.
+CACHE_BYTES = 24 << 20
+#: Characters of texts, or segments of one longer text, that are split at a time.
+GROUP, RUN = 1 << 20, 200_000
+#: Rows of segments that are merged in step at a time.
+ROWS = 4096
 #: The symbol of a character that is no piece is OTHER and its code point.
 OTHER = 1 << 21
 NEVER = np.int32(2**31 - 1)
@@ -55,11 +59,10 @@ class Vocabulary:
             raise ValueError("only the identity normaliser is supported")
         # symbols: pieces by id, and OTHER + code point for the characters that are no piece
         self.size = n
-        self.of_char = np.arange(0x110000, dtype=np.int64) + OTHER
+        self.of_char = np.arange(0x110000, dtype=np.int32) + np.int32(OTHER)
         for piece, i in pieces.items():
             if len(piece) == 1:
                 self.of_char[ord(piece)] = i
-        self.decimal = [str(i) for i in range(n)]
         order = sorted({lib.get_score(i) for i in pieces.values()}, reverse=True)
         rank_of_score = {s: r for r, s in enumerate(order)}
         merges = {}
@@ -68,7 +71,6 @@ class Vocabulary:
                 left, right = (int(self.of_char[ord(x)]) if len(x) == 1 else pieces.get(x, -1) for x in (piece[:cut], piece[cut:]))
                 if left >= 0 and right >= 0:
                     merges[left, right] = (rank_of_score[lib.get_score(i)], i)
-        self.merges = merges
         bits = max(12, int(np.ceil(np.log2(4 * len(merges) + 1))))
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys = np.full(1 << bits, -1, np.int64)
@@ -109,6 +111,11 @@ class Vocabulary:
             slot[open_] = (slot[open_] + 1) & self.mask
         return rank, piece
 
+    def _merge_of(self, left: int, right: int) -> tuple[int, int] | None:
+        """Rank and piece of one pair of symbols; None: no piece."""
+        rank, piece = self.lookup(np.array([left]), np.array([right]))
+        return None if rank[0] == NEVER else (int(rank[0]), int(piece[0]))
+
     def _symbols(self, text: str) -> np.ndarray:
         return self.of_char[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
@@ -126,20 +133,20 @@ class Vocabulary:
         out: list[list[int]] = [[]] * len(segments)
         length = np.array([len(s) for s in segments], np.int64)
         for low, high in zip(WIDTHS, WIDTHS[1:]):
-            which = np.flatnonzero((length > low) & (length <= high))
-            if not len(which):
-                continue
-            flat = self._symbols("".join([segments[i] for i in which.tolist()]))
-            there = np.arange(high) < length[which][:, None]
-            sym = np.full(there.shape, -1, np.int64)
-            sym[there] = flat
-            alive = self._lockstep(sym, there)
-            flat, ends = sym[alive], np.cumsum(alive.sum(axis=1)).tolist()
-            odd = set(which[((sym >= OTHER) & alive).any(axis=1)].tolist())
-            flat, start = flat.tolist(), 0
-            for i, end in zip(which.tolist(), ends):
-                out[i] = self._ids(flat[start:end]) if i in odd else flat[start:end]
-                start = end
+            all_of_width = np.flatnonzero((length > low) & (length <= high))
+            for at in range(0, len(all_of_width), ROWS):
+                which = all_of_width[at : at + ROWS]
+                flat = self._symbols("".join([segments[i] for i in which.tolist()]))
+                there = np.arange(high) < length[which][:, None]
+                sym = np.full(there.shape, -1, np.int32)
+                sym[there] = flat
+                alive = self._lockstep(sym, there)
+                flat, ends = sym[alive], np.cumsum(alive.sum(axis=1)).tolist()
+                odd = set(which[((sym >= OTHER) & alive).any(axis=1)].tolist())
+                flat, start = flat.tolist(), 0
+                for i, end in zip(which.tolist(), ends):
+                    out[i] = self._ids(flat[start:end]) if i in odd else flat[start:end]
+                    start = end
         for i in np.flatnonzero(length > WIDTHS[-1]).tolist():
             out[i] = self._by_heap(segments[i])
         return out
@@ -150,8 +157,8 @@ class Vocabulary:
         rows, width = sym.shape
         if width == 1:
             return alive
-        nxt = np.tile(np.arange(1, width + 1), (rows, 1))
-        prv = np.tile(np.arange(-1, width - 1), (rows, 1))
+        nxt = np.tile(np.arange(1, width + 1, dtype=np.int32), (rows, 1))
+        prv = np.tile(np.arange(-1, width - 1, dtype=np.int32), (rows, 1))
         rank = np.full((rows, width), NEVER, np.int32)
         into = np.zeros((rows, width), np.int32)
         r, p = self.lookup(sym[:, :-1].ravel(), sym[:, 1:].ravel())
@@ -183,12 +190,15 @@ class Vocabulary:
         sym = self._symbols(segment).tolist()
         n = len(sym)
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        merges, agenda = self.merges, []
+        known: dict[tuple[int, int], tuple[int, int] | None] = {}
+        agenda: list[tuple[int, int, int, int, int, int]] = []
 
         def offer(i, j):
-            found = merges.get((sym[i], sym[j]))
-            if found:
-                heapq.heappush(agenda, (found[0], i, j, sym[i], sym[j], found[1]))
+            pair = sym[i], sym[j]
+            if pair not in known:
+                known[pair] = self._merge_of(*pair)
+            if found := known[pair]:
+                heapq.heappush(agenda, (found[0], i, j, *pair, found[1]))
 
         for i in range(n - 1):
             offer(i, i + 1)
@@ -206,11 +216,21 @@ class Vocabulary:
         return self._ids([s for s in sym if s >= 0])
 
 
+def _cost(segment: str, ids: bytes) -> int:
+    """About the bytes that a cached segment takes: two objects and their place."""
+    return 200 + len(segment) + len(ids)
+
+
 def encoder(model: bytes, check: bool = True):
-    """A function: texts -> the segments of each, as (ids, ids in decimal)."""
+    """A function: texts -> the ids of each, int32 arrays without an end id.
+
+    Beyond its results it holds the vocabulary, CACHE_BYTES of segments and the
+    segments of GROUP characters or RUN segments of text, however many texts
+    there are and however long one is.
+    """
     vocabulary = Vocabulary(model)
-    cache: dict[str, tuple[list[int], str]] = {}
-    decimal = vocabulary.decimal
+    cache: dict[str, bytes] = {}
+    cached = 0
 
     def compare(segments: list[str], ids: list[list[int]]) -> None:
         """The library encodes the segments as one text; a newline, which never
@@ -231,17 +251,38 @@ def encoder(model: bytes, check: bool = True):
                     compare([s], [i])
             raise AssertionError(f"the sentencepiece library encodes otherwise: {segments[:3]!r}")
 
-    def encode(texts: list[str]) -> list[list[tuple[list[int], str]]]:
-        if len(cache) > CACHE:
+    def of_segments(split: list[list[str]]) -> list[bytes]:
+        nonlocal cached
+        if cached > CACHE_BYTES:
             cache.clear()
-        split = [vocabulary.segment.findall(" " + t) if t else [] for t in texts]
+            cached = 0
         new = list(set(chain.from_iterable(split)) - cache.keys())
-        ids = vocabulary.encode_segments([s.replace(" ", SPACE) for s in new])
-        if check:
-            for at in range(0, len(new), 2000):
-                compare(new[at : at + 2000], ids[at : at + 2000])
-        cache.update((s, (i, " ".join([decimal[x] for x in i]))) for s, i in zip(new, ids))
-        return [[cache[s] for s in found] for found in split]
+        for at in range(0, len(new), 2000):
+            part = new[at : at + 2000]
+            ids = vocabulary.encode_segments([s.replace(" ", SPACE) for s in part])
+            if check:
+                compare(part, ids)
+            for s, i in zip(part, ids):
+                cache[s] = packed = np.array(i, np.int32).tobytes()
+                cached += _cost(s, packed)
+        return [b"".join([cache[s] for s in found]) for found in split]
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            if len(texts[at]) > GROUP:
+                segments = (m.group() for m in vocabulary.segment.finditer(" " + texts[at]))
+                runs = iter(lambda: list(islice(segments, RUN)), [])
+                out.append(b"".join([of_segments([run])[0] for run in runs]))
+                at += 1
+                continue
+            end, size = at, 0
+            while end < len(texts) and size + len(texts[end]) <= GROUP:
+                size, end = size + len(texts[end]), end + 1
+            out += of_segments([vocabulary.segment.findall(" " + t) if t else [] for t in texts[at:end]])
+            at = end
+        return [np.frombuffer(ids, np.int32) for ids in out]
 
     return encode, vocabulary
 
@@ -253,27 +294,29 @@ def encode_documents(documents: DataFrame, model: bytes, check: bool = True, wit
     The ids are those of the library with an end id and without sampling;
     decoded is the library's decode(ids). A null text is encoded like an empty
     one: the end id alone, decoded to an empty text. Repeated rows and null
-    ids of documents are kept; other columns are ignored. Memory is bounded by
-    one batch of whole texts and the segment cache.
+    ids of documents are kept; other columns are ignored, and an empty table
+    gives none. Memory is bounded by a few MB of whole texts (or one longer
+    text) and their ids, and the segment cache.
     """
-    small_batches(documents.sparkSession, 1000)
 
     def run(batches):
         encode, vocabulary = encoder(model, check)
-        end, decode = vocabulary.end, vocabulary.library.decode
-        for batch in batches:
-            counts, hashes, all_ids = [], [], []
-            for found in encode([t or "" for t in batch.column(1).to_pylist()]):
-                ids = list(chain.from_iterable([e[0] for e in found]))
-                ids.append(end)
-                counts.append(len(ids))
-                hashes.append(hashlib.sha256(" ".join([*[e[1] for e in found], str(end)]).encode()).hexdigest())
-                all_ids.append(ids)
-            decoded = decode(all_ids) if all_ids else []
-            digests = [hashlib.sha256(t.encode()).hexdigest() for t in decoded]
-            more = [pa.array(all_ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())] if with_ids else []
+        end, decode = np.array([vocabulary.end], np.int32), vocabulary.library.decode
+        decimal = [str(i) for i in range(vocabulary.size)]
+        for batch in sliced(batches, 1000, 1 << 20):
+            all_ids = [np.concatenate((ids, end)) for ids in encode([t or "" for t in batch.column(1).to_pylist()])]
+            hashes, digests, decoded = [], [], []
+            for ids in map(np.ndarray.tolist, all_ids):
+                hashes.append(hashlib.sha256(" ".join([decimal[i] for i in ids]).encode()).hexdigest())
+                text = decode(ids)
+                digests.append(hashlib.sha256(text.encode()).hexdigest())
+                if with_ids:
+                    decoded.append(text)
+            counts = np.array([len(ids) for ids in all_ids], np.int64)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+            more = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(all_ids))), pa.array(decoded, pa.string())] if with_ids else []
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(digests, pa.string()), *more],
+                [batch.column(0), pa.array(counts), pa.array(hashes, pa.string()), pa.array(digests, pa.string()), *more],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 4 + len(more)],
             )
 

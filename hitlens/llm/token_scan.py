@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hitlens.llm.common import small_batches, stage
+from hitlens.llm.common import sliced, stage
 from hitlens.llm.warc import _open
 
 BLOCK_TOKENS = 1 << 20
@@ -34,7 +34,6 @@ def write_token_files(documents: DataFrame, ranks: bytes, pattern: str, end: int
     being the number of the task's partition. Files of lost
     attempts have other names and are not in it.
     """
-    small_batches(documents.sparkSession)
 
     def run(batches):
         import tiktoken
@@ -47,7 +46,7 @@ def write_token_files(documents: DataFrame, ranks: bytes, pattern: str, end: int
         files, folder_at = _open(folder)
         files.create_dir(folder_at, recursive=True)
         name, out, tokens, docs = f"{uuid.uuid4().hex}.tok", None, 0, 0
-        for batch in batches:
+        for batch in sliced(batches):
             parts = []
             for text in batch.column(0).to_pylist():
                 parts.append(np.array([*encode(text or ""), end], "<u2"))
@@ -73,7 +72,7 @@ def scan_blocks(files: DataFrame, folder: str, end: int, width: int = 2, block:
 
     def run(batches):
         source_fs, folder_at = _open(folder)
-        for batch in batches:
+        for batch in sliced(batches, 64):
             out = []
             for file, number, n in zip(*(c.to_pylist() for c in batch.columns)):
                 with source_fs.open_input_file(f"{folder_at}/{file}") as f:
@@ -98,7 +97,6 @@ def document_lengths(files: DataFrame, folder: str, end: int, width: int = 2, bl
     A file without tokens has no documents. Two separators in a row close an
     empty document of one token.
     """
-    small_batches(files.sparkSession, 64)
     scanned = stage(scan_blocks(files, folder, end, width, block), "blocks")
     order = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     last = Window.partitionBy("file").orderBy(F.desc("block"))

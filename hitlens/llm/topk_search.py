@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hitlens.llm.blocked_bloom import only_listed
-from hitlens.llm.common import shared_path, small_batches, stage
+from hitlens.llm.common import shared_path, sliced, stage
 from hitlens.llm.textkit import utf8, word_hashes
 from hitlens.llm.warc import _open
 
@@ -74,7 +74,6 @@ def _load(files, path: str) -> dict[str, np.ndarray]:
 def build_index(documents: DataFrame, folder: str) -> DataFrame:
     """Write the shards of documents (doc_id, text) to folder; staged
     (file, n_docs, n_words). Every row is indexed; one without words never matches."""
-    small_batches(documents.sparkSession)
 
     def run(batches):
         files, folder_at = _open(folder)
@@ -91,9 +90,7 @@ def build_index(documents: DataFrame, folder: str) -> DataFrame:
             ids, words, counts, held = [], [], [], 0
             return out
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches):
             found, offsets = word_hashes(*utf8(batch.column(1)))
             if held and held + len(found) > SHARD_WORDS:
                 yield flush()
@@ -130,7 +127,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, tf) of queries (query_id, text)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             words, offsets = word_hashes(*utf8(batch.column(1)))
             ids = batch.column(0).to_numpy()
             for i in range(batch.num_rows):
@@ -259,7 +256,6 @@ def top_k(documents: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = terms.join(frequencies, "term").select("query_id", "term", (F.col("tf") * idf).alias("weight"))
     per_query = weighted.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("terms"))
-    small_batches(spark, QUERY_FILE)
     blocks = _query_files(per_query, folder)
     # work: groups of shards by superblocks of query files; names only
     groups = max(1, 2 * spark.sparkContext.defaultParallelism)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitlens.llm.blocked_bloom import with_maybe
-from hitlens.llm.common import shared_path, small_batches, stage
+from hitlens.llm.common import shared_path, sliced, stage
 from hitlens.llm.url_filter import host_and_rest
 
 BLOCK = 1000
@@ -123,13 +123,12 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     are), the others revisit it. A null html is an empty payload, a null url an
     empty one; a null page_id never is the largest.
     """
-    small_batches(pages.sparkSession, 200)
 
     def run(batches):
         files, folder_at = _open(folder)
         files.create_dir(folder_at, recursive=True)
         name, out, at = f"{uuid.uuid4().hex}.warc.gz", None, 0
-        for batch in batches:
+        for batch in sliced(batches, 200):
             places = []
             for page_id, url, html, digest, winner in zip(*(c.to_pylist() for c in batch.columns[1:])):
                 kind = "response" if winner is None or winner == page_id else "revisit"
@@ -205,11 +204,15 @@ def find(keys: DataFrame, index: list[tuple[str, str]], folder: str) -> DataFram
                     shard.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(shard, pa.int32())], names=["key", "shard"])
 
+    def table_of(out):
+        columns = zip(*out) if out else ((), (), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["key", "file", "at", "size"])
+
     def search(batches):
         files, folder_at = _open(folder)
+        out: list[list] = []
         at_shard, directory, starts, source, at_block, lines, line_keys = None, [], [], None, None, [], []
-        for batch in batches:
-            out = []
+        for batch in sliced(batches, 2000):
             for key, shard in zip(*(c.to_pylist() for c in batch.columns)):
                 if shard != at_shard:
                     path = f"{folder_at}/{index[shard][1]}"
@@ -222,8 +225,11 @@ def find(keys: DataFrame, index: list[tuple[str, str]], folder: str) -> DataFram
                         lines = [json.loads(x) for x in zlib.decompress(source.read_at(directory[b][2], directory[b][1])).decode().split("\n")]
                         line_keys, at_block = [x[0].encode() for x in lines], b
                     out += lines[bisect.bisect_left(line_keys, wanted) : bisect.bisect_right(line_keys, wanted)]
-            columns = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["key", "file", "at", "size"])
+                    # a hot key has many blocks: what is held is one of them
+                    if len(out) >= BLOCK:
+                        yield table_of(out)
+                        out = []
+        yield table_of(out)
 
     sent = keys.select("key").filter("key IS NOT NULL").distinct().mapInArrow(send, "key string, shard int")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -239,7 +245,7 @@ def read_records(places: DataFrame, folder: str, payloads: bool = False) -> Data
     def run(batches):
         files, folder_at = _open(folder)
         name, source = None, None
-        for batch in batches:
+        for batch in sliced(batches, 1000):
             rows = []
             for file, at, size in zip(*(c.to_pylist() for c in batch.columns)):
                 if file != name:
@@ -264,7 +270,6 @@ def archive_and_read(pages: DataFrame) -> DataFrame:
     spark: SparkSession = pages.sparkSession
     folder = shared_path(spark, "warc")
     index = build_index(write_archives(pages, folder), folder)
-    small_batches(spark, 2000)
     keys = pages.select(capture_key(F.col("url").cast("string")).alias("key"))
     places = stage(find(keys, index, folder), "places")
     return read_records(places, folder).drop("url")

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import hitlens.llm.near_dup as near_dup
+import hitlens.llm.sentencepieces as sentencepieces
 from hitlens.llm.components import components
 from hitlens.llm.mixing import min_cost_flow, mix, mix_documents, route, target_sizes
 from hitlens.llm.near_dup import keep_one, likely_jaccard, minima, near_duplicates, registers
@@ -164,7 +165,18 @@ def test_sentencepiece_random_texts():
     rng = random.Random(3)
     texts = ["", " ", "▁", "a▁b", "\n\n a\n", "A" * 400, " " * 99, "日本語 🙂🙂", "<s></s><0x0A>"]
     texts += ["".join(rng.choice("abethionsr  \n\tAé中▁🙂.,!0123 　̀") for _ in range(rng.randint(1, 90))) for _ in range(1500)]
-    assert [[i for e in found for i in e[0]] for found in encode(texts)] == vocabulary.library.encode(texts)
+    assert [ids.tolist() for ids in encode(texts)] == vocabulary.library.encode(texts)
+
+
+def test_sentencepiece_bounds_change_nothing(monkeypatch):
+    # groups, runs, rows in step and the cache far below any text's size
+    for name, value in (("GROUP", 60), ("RUN", 7), ("ROWS", 5), ("CACHE_BYTES", 3000)):
+        monkeypatch.setattr(sentencepieces, name, value)
+    encode, vocabulary = encoder(model_file("piece_bpe_32k.model"))
+    rng = random.Random(4)
+    texts = ["", "a", "x" * 300, "".join(rng.choice("abcdefgh") for _ in range(900))]
+    texts += [" ".join("".join(rng.choice("aeinrst") for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    assert [ids.tolist() for ids in encode(texts)] == vocabulary.library.encode(texts)
 
 
 def auc(rows):
