@@ -1,8 +1,9 @@
 """A blocked Bloom filter in DataFrame functions, and joins behind it.
 
-The filter is a table of 256-bit blocks made by a bit_or aggregation. It has at
-most MAX_BLOCKS rows, so it may be broadcast however long the list is; with a
-longer list it lets more rows pass, and the exact join behind it stays exact.
+The filter is a table of 256-bit blocks made by a bit_or aggregation, with
+BITS_EACH bits for each listed key however long the list is. Up to
+BROADCAST_BLOCKS blocks it is broadcast; a larger filter is left to Spark's
+choice of a join. Either way the joins behind it are exact.
 """
 
 from __future__ import annotations
@@ -10,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: 2^17 blocks of 32 bytes are 4 MB, the most that is broadcast.
-MAX_BLOCKS = 1 << 17
-#: Bits of the filter for each key while the bound allows it.
+from hitlens.llm.common import fresh
+
+#: 2^17 blocks of 36 bytes are 4.7 MB, the most that is broadcast.
+BROADCAST_BLOCKS = 1 << 17
 BITS_EACH = 16
 WORDS = 8
-TEMP = "__bloom_"
 
 
 def _block(key: Column, blocks: int) -> Column:
@@ -30,16 +31,16 @@ def _bits(key: Column) -> list[Column]:
 
 def blocks_for(n: int) -> int:
     blocks = 1
-    while blocks < MAX_BLOCKS and blocks * 256 < n * BITS_EACH:
+    while blocks * 256 < n * BITS_EACH:
         blocks *= 2
-    return blocks
+    return min(blocks, 1 << 30)
 
 
 def bloom(listed: DataFrame, blocks: int) -> DataFrame:
     """The filter of the first column of listed: (block, w0, ..., w7)."""
     key = F.col(listed.columns[0])
-    words = [F.bit_or(b).alias(f"{TEMP}w{i}") for i, b in enumerate(_bits(key))]
-    return listed.groupBy(_block(key, blocks).alias(f"{TEMP}block")).agg(*words)
+    words = [F.bit_or(b).alias(f"w{i}") for i, b in enumerate(_bits(key))]
+    return listed.groupBy(_block(key, blocks).alias("block")).agg(*words)
 
 
 def with_maybe(rows: DataFrame, key: str, listed: DataFrame, flag: str) -> DataFrame:
@@ -48,30 +49,37 @@ def with_maybe(rows: DataFrame, key: str, listed: DataFrame, flag: str) -> DataF
     read twice). A null key is certainly not listed."""
     listed = listed.filter(F.col(listed.columns[0]).isNotNull())
     blocks = blocks_for(listed.count())
-    placed = rows.withColumn(f"{TEMP}block", _block(F.col(key), blocks))
-    # at most MAX_BLOCKS rows of 36 bytes
-    probed = placed.join(F.broadcast(bloom(listed, blocks)), f"{TEMP}block", "left")
-    hit = F.col(key).isNotNull()
-    for i, b in enumerate(_bits(F.col(key))):
-        hit = hit & (F.col(f"{TEMP}w{i}").bitwiseAND(b) != 0)
-    return probed.withColumn(flag, F.coalesce(hit, F.lit(False))).select(*(F.col(f"`{c}`") for c in rows.columns), flag)
+    block, words = fresh(rows, "block"), fresh(rows, "words")
+    filled = bloom(listed, blocks)
+    filled = filled.select(F.col("block").alias(block), F.struct(*filled.columns[1:]).alias(words))
+    placed = rows.withColumn(block, F.when(F.col(f"`{key}`").isNotNull(), _block(F.col(f"`{key}`"), blocks)))
+    probed = placed.join(F.broadcast(filled) if blocks <= BROADCAST_BLOCKS else filled, block, "left")
+    hit = F.col(words).isNotNull()
+    for i, b in enumerate(_bits(F.col(f"`{key}`"))):
+        hit = hit & (F.col(f"{words}.w{i}").bitwiseAND(b) != 0)
+    return probed.select(*(F.col(f"`{c}`") for c in rows.columns), F.coalesce(hit, F.lit(False)).alias(flag))
 
 
 def maybe_listed(rows: DataFrame, key: str, listed: DataFrame) -> DataFrame:
     """The rows whose key passes the filter of listed: all that are listed, few others."""
-    flag = f"{TEMP}maybe"
+    flag = fresh(rows, "maybe")
     return with_maybe(rows, key, listed, flag).filter(flag).drop(flag)
 
 
 def only_listed(rows: DataFrame, key: str, listed: DataFrame) -> DataFrame:
     """The rows whose key is listed: rows that miss the filter are not shuffled."""
-    return maybe_listed(rows, key, listed).join(listed.toDF(f"{TEMP}key"), F.col(f"`{key}`") == F.col(f"{TEMP}key"), "left_semi")
+    return _exact(maybe_listed(rows, key, listed), key, listed, "left_semi")
 
 
 def without_listed(rows: DataFrame, key: str, listed: DataFrame) -> DataFrame:
     """The rows whose key is not listed (or null): only rows that the filter
     lets pass go to the exact anti join."""
-    flag = f"{TEMP}maybe"
+    flag = fresh(rows, "maybe")
     probed = with_maybe(rows, key, listed, flag)
-    checked = probed.filter(flag).join(listed.toDF(f"{TEMP}key"), F.col(f"`{key}`") == F.col(f"{TEMP}key"), "left_anti")
+    checked = _exact(probed.filter(flag), key, listed, "left_anti")
     return probed.filter(~F.col(flag)).unionByName(checked).drop(flag)
+
+
+def _exact(rows: DataFrame, key: str, listed: DataFrame, how: str) -> DataFrame:
+    other = fresh(rows, "listed_key")
+    return rows.join(listed.toDF(other), F.col(f"`{key}`") == F.col(other), how)

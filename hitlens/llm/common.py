@@ -55,5 +55,13 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = 500, size: int = 4 <<
             yield batch.slice(at, step)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

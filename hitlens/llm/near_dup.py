@@ -6,18 +6,22 @@ K = floor(1 - log_b(min x)), clipped to 0..Q. Registers merge by maximum and
 two sets agree in a register with a probability of about their Jaccard
 similarity. Bands of registers propose candidates, the joint likelihood of the
 register comparison (with the known set sizes) discards the far ones, and the
-full shingle sets confirm every link that counts.
-
-Skew. Texts with the same set collapse into a class first, by an aggregation
-with map-side combine, so thousands of copies are one node. Nodes are numbered
-at random (a bijection of doc_id). Within a band's bucket every member is tried
-against two hubs, the smallest and the largest node, which a group of near
-copies shares in most of its buckets: linear in the bucket, and few pairs.
-Buckets whose members are then in different components are compared in blocks
-of about BLOCK members, across components only: a task holds two blocks with
-their texts, confirms the pairs that the likelihood keeps (each in its first
-common bucket), and emits a link only where it joins two components, so fewer
-links than members. No bucket is capped.
+full shingle sets confirm every link.
+
+The nodes of the graph are classes: the distinct sets, told apart by a 128-bit
+fingerprint, whatever the ids of their rows are. Rows without an id, rows that
+share an id and repeated rows are members of their text's class.
+
+Skew. Texts with the same set collapse into a class by an aggregation with
+map-side combine, so thousands of copies are one node. Nodes are numbered at
+random. Within a band's bucket every member is tried against two hubs, the
+smallest and the largest node, which a group of near copies shares in most of
+its buckets: linear in the bucket, and few pairs. Buckets whose members are
+then in different components are compared in blocks of about BLOCK members, by
+registers alone and across components only, each pair in its first common
+bucket; full sets are fetched for the pairs that the likelihood keeps. No
+bucket is capped. Joins on keys that may be hot (buckets, hubs, components,
+classes) deal a hot key over several tasks.
 
 Recall. A pair at exactly the threshold of 0.8 meets in no band with a
 probability of (1 - 0.8^5)^40 = 1.3e-7.
@@ -31,16 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hitlens.llm.blocked_bloom import maybe_listed, only_listed, without_listed
-from hitlens.llm.common import sliced, stage
+from hitlens.llm.common import fresh, sliced, stage
 from hitlens.llm.components import components
-from hitlens.llm.textkit import U64, mix, shingles, unmix, utf8, word_hashes
+from hitlens.llm.skew import spread_join
+from hitlens.llm.textkit import U64, mix, shingles, utf8, word_hashes
 
 M, ROWS = 200, 5
 BASE, RATE, Q = 1.001, 20.0, 65534
-BLOCK, BLOCK_WORDS = 256, 1 << 19
-SALT = U64(0x452821E638D01377)
-#: The column of a row's number, only inside a plan.
-ROW = "__near_row"
+BLOCK = 512
 #: A similarity estimate from M registers has a standard error of at most
 #: 0.0283 at 0.8: pairs 5 errors below the threshold are dropped (3e-7).
 SLACK = 5 * 0.0283
@@ -113,64 +115,73 @@ def _sets_of(column, k: int):
     return shingles(*word_hashes(*utf8(column)), k)
 
 
-def _node(doc_ids: np.ndarray) -> np.ndarray:
-    """A random number for each doc_id, one to one."""
-    return mix(doc_ids.astype(np.int64).view(U64) ^ SALT).view(np.int64)
+def _prints(found: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """A 128-bit fingerprint of each set, in two halves; 0 for empty sets."""
+    counts = np.diff(at)
+    filled = np.flatnonzero(counts)
+    prints = [np.zeros(len(counts), U64), np.zeros(len(counts), U64)]
+    for out, salt in zip(prints, (0x243F6A8885A308D3, 0x13198A2E03707344)):
+        if len(filled):
+            out[filled] = mix(np.add.reduceat(mix(found ^ U64(salt)), at[:-1][filled]) + counts[filled].astype(U64))
+    return [x.view(np.int64) for x in prints]
 
 
-def _doc_id(nodes: np.ndarray) -> np.ndarray:
-    return (unmix(nodes.astype(np.int64).view(U64)) ^ SALT).view(np.int64)
-
-
-def _numbered(documents: DataFrame, clashing: DataFrame | None = None) -> DataFrame:
-    """documents with ROW: doc_id, or for a row without one a number from its
-    text; for the rows that clashing (row) lists a number from both."""
-    text = F.col("text").cast("string")
-    plain = documents.withColumn(ROW, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)))
-    if clashing is None:
-        return plain
-    apart = only_listed(plain, ROW, clashing).withColumn(ROW, F.xxhash64(F.col("doc_id").cast("long"), text))
-    return without_listed(plain, ROW, clashing).unionByName(apart)
+def _named(documents: DataFrame) -> DataFrame:
+    """(doc_id, w1, w2, text): w1 and w2 are a 128-bit name of a row's id and text."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("w1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("w2"), "text")
 
 
 def sketch(documents: DataFrame, k: int) -> DataFrame:
-    """row (ROW of documents), doc_id, n (set size), f1, f2 (128-bit fingerprint of the set), node (a
-    random number for row, one to one), regs (registers)."""
+    """For each row of documents: doc_id, w1, w2 (_named), n (set size), f1, f2
+    (fingerprint of the set), regs (registers)."""
 
     def run(batches):
         for batch in sliced(batches):
-            found, at = _sets_of(batch.column(2), k)
+            found, at = _sets_of(batch.column(3), k)
             counts = np.diff(at)
             regs = registers(minima(found, counts))
-            filled = np.flatnonzero(counts)
-            prints = [np.zeros(len(counts), U64), np.zeros(len(counts), U64)]
-            for out, salt in zip(prints, (0x243F6A8885A308D3, 0x13198A2E03707344)):
-                if len(filled):
-                    out[filled] = mix(np.add.reduceat(mix(found ^ U64(salt)), at[:-1][filled]) + counts[filled].astype(U64))
-            nodes = _node(batch.column(0).to_numpy())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(counts), *(pa.array(x.view(np.int64)) for x in prints), pa.array(nodes), pa.array([r.tobytes() for r in regs], pa.binary())],
-                names=["row", "doc_id", "n", "f1", "f2", "node", "regs"],
+                [*(batch.column(i) for i in range(3)), pa.array(counts), *map(pa.array, _prints(found, at)), pa.array([r.tobytes() for r in regs], pa.binary())],
+                names=["doc_id", "w1", "w2", "n", "f1", "f2", "regs"],
             )
 
-    return documents.select(ROW, F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "row long, doc_id long, n long, f1 long, f2 long, node long, regs binary")
+    return _named(documents).mapInArrow(run, "doc_id long, w1 long, w2 long, n long, f1 long, f2 long, regs binary")
+
+
+def _classes(sketches: DataFrame) -> DataFrame:
+    """The distinct sets, staged: f1, f2, node (a random number, one to one), n,
+    regs, copies (rows), id (least doc_id) and w1, w2 (names of one row with that id)."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "w1", "w2")).alias("first")
+    sets = sketches.filter("n > 0").groupBy("f1", "f2").agg(F.first("n").alias("n"), F.first("regs").alias("regs"), F.count("*").alias("copies"), first)
+    # xxhash64 of a long is one to one
+    node = F.xxhash64(F.monotonically_increasing_id()).alias("node")
+    return stage(sets.select("f1", "f2", node, "n", "regs", "copies", F.col("first.doc_id").alias("id"), "first.w1", "first.w2"), "classes")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """key, node, n: a row for each band of each class; the key ends in the band's
-    number, n is the size of the class's set."""
+    """key, node: a row for each band of each class; the key ends in the band's number."""
 
     def run(batches):
-        for batch in sliced(batches):
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches, 4000):
             regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, M // ROWS, ROWS).astype(U64)
             coefficient = mix(np.arange(11, 11 + ROWS, dtype=U64)) | U64(1)
             band = np.arange(M // ROWS, dtype=U64)
             key = mix((regs * coefficient).sum(axis=2, dtype=U64) ^ mix(band)) & ~U64(63) | band
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), *(pa.array(np.repeat(batch.column(c).to_numpy(), M // ROWS)) for c in ("node", "n"))], names=["key", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), M // ROWS))], names=["key", "node"])
 
-    return classes.select("node", "regs", "n").mapInArrow(run, "key long, node long, n long")
+    return classes.select("node", "regs").mapInArrow(run, "key long, node long")
+
+
+def _buckets(classes: DataFrame) -> DataFrame:
+    """key, node, hub, far of the buckets of two nodes or more, staged; hub and
+    far are a bucket's least and greatest node."""
+    bands = _bands(classes)
+    hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far"), F.count("*").alias("rows")).filter("hub <> far")
+    hubs = stage(hubs, "hubs")
+    # a band that no other set has is not shuffled again
+    shared = maybe_listed(bands, "key", hubs.select("key"))
+    return stage(spread_join(shared, hubs.drop("rows"), ["key"], F.col("node"), hubs.select("key", "rows")), "buckets")
 
 
 def _near(ra, rb, na, nb, least: float) -> np.ndarray:
@@ -186,130 +197,111 @@ def _near(ra, rb, na, nb, least: float) -> np.ndarray:
 
 def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """The pairs of nodes (a, b) that may reach the similarity `least` by their
-    registers, as pairs of doc_ids."""
+    registers, staged. pairs is staged; a may be a hub of many."""
 
     def run(batches):
-        for batch in sliced(batches):
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches, 4000):
             ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, M) for c in ("ra", "rb"))
             na, nb = (batch.column(c).to_numpy().astype(float) for c in ("na", "nb"))
-            yield _as_ids(*(batch.column(c).to_numpy()[_near(ra, rb, na, nb, least)] for c in ("a", "b")))
+            yield batch.select(["a", "b"]).filter(pa.array(_near(ra, rb, na, nb, least)))
 
     of = classes.select("node", "n", "regs")
-    joined = pairs.join(of.toDF("b", "nb", "rb"), "b").join(of.toDF("a", "na", "ra"), "a")
-    return joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
+    joined = spread_join(pairs.join(of.toDF("b", "nb", "rb"), "b"), of.toDF("a", "na", "ra"), ["a"], F.col("b"), pairs.groupBy("a").agg(F.count("*").alias("rows")))
+    return stage(joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long"), "near")
 
 
-def _as_ids(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(_doc_id(a)), pa.array(_doc_id(b))], names=["a", "b"])
+def _full_sets(nodes: DataFrame, classes: DataFrame, documents: DataFrame, k: int) -> DataFrame:
+    """(node, elements: the sorted set as bytes) of each of nodes (node), staged.
 
-
-def _verified(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs of doc_ids whose full shingle sets have
-    100 * intersection >= percent * union. pairs is staged."""
+    The set is made from one text of the class, where that stands: rows of other
+    names are dropped by a filter before, copies of that row by an aggregation after."""
 
     def run(batches):
         for batch in sliced(batches):
-            if not batch.num_rows:
-                continue
-            (ea, oa), (eb, ob) = (_sets_of(batch.column(c), k) for c in ("ta", "tb"))
-            good = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                good[i] = _linked(ea[oa[i] : oa[i + 1]], eb[ob[i] : ob[i + 1]], percent)
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+            found, at = _sets_of(batch.column(1), k)
+            elements = [found[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, _prints(found, at)), pa.array(elements, pa.binary())], names=["f1", "f2", "elements"])
 
-    # texts in no pair are not shuffled; the joins below are exact
-    texts = maybe_listed(documents, "doc_id", pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
-    joined = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
-    return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    wanted = stage(classes.select("node", "f1", "f2", "w1").join(nodes.distinct(), "node", "left_semi"), "wanted")
+    texts = maybe_listed(_named(documents), "w1", wanted.select("w1"))
+    made = texts.select("w1", "text").mapInArrow(run, "f1 long, f2 long, elements binary")
+    sets = made.groupBy("f1", "f2").agg(F.first("elements").alias("elements"))
+    return stage(sets.join(wanted.drop("w1"), ["f1", "f2"]).select("node", "elements"), "sets")
 
 
-def _with_nodes(labels: DataFrame) -> DataFrame:
-    """labels (doc_id, component) with the doc_id's node in its place."""
+def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs of nodes (a, b) whose full shingle sets have
+    100 * intersection >= percent * union, staged. pairs is staged."""
 
     def run(batches):
         for batch in sliced(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(_node(batch.column(0).to_numpy())), batch.column(1)], names=["node", "component"])
+            good = np.zeros(batch.num_rows, bool)
+            before, x = None, None
+            for i, (a, ea, eb) in enumerate(zip(*(batch.column(c) for c in ("a", "ea", "eb")))):
+                if a != before:
+                    before, x = a, np.frombuffer(ea.as_buffer(), U64)
+                good[i] = _linked(x, np.frombuffer(eb.as_buffer(), U64), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    return labels.select("node", "component").mapInArrow(run, "node long, component long")
+    sets = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), classes, documents, k)
+    joined = spread_join(pairs.join(sets.toDF("b", "eb"), "b"), sets.toDF("a", "ea"), ["a"], F.col("b"), pairs.groupBy("a").agg(F.count("*").alias("rows")))
+    return stage(joined.select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long"), "links")
 
 
-def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """buckets with component, without the buckets that lie in one component.
-    A node without a label is a component of its own."""
+def _undecided(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The buckets that lie in several components, staged: key, node, c (the
+    component; a node without a label is one of its own) and blocks. buckets is staged."""
     own = F.struct(F.coalesce("component", "node").alias("c"), F.col("component").isNull().alias("alone"))
-    rows = buckets.join(labels, "node", "left").withColumn("component", own)
-    several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    return rows.join(several.select("key"), "key")
+    rows = stage(buckets.join(labels, "node", "left").select("key", "node", own.alias("c")), "labelled")
+    several = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("rows")).filter("lo <> hi")
+    several = stage(several.select("key", "rows", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "several")
+    shared = maybe_listed(rows, "key", several.select("key"))
+    return stage(spread_join(shared, several.drop("rows"), ["key"], F.col("node"), several.select("key", "rows")), "rest")
 
 
-def _across(rows: DataFrame, classes: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) of doc_ids within a bucket and across components, compared
-    block by block: of those that exist as many as join the components."""
-    least = percent / 100 - SLACK
-    wanted = stage(classes.select("node", "doc_id", "regs").join(rows.select("node").distinct(), "node", "left_semi"), "wanted")
-    texts = wanted.join(maybe_listed(documents, "doc_id", wanted.select("doc_id")), "doc_id").select("node", "regs", "text")
-    sizes = rows.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_WORDS)).cast("int").alias("blocks"))
+def _across(rest: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """The pairs of nodes (a, b) of a bucket and of different components that may
+    reach the similarity `least` by their registers, staged. Blocks of a bucket
+    are compared with each other: a task holds the registers of two."""
     members = (
-        rows.join(sizes, "key")
-        .join(texts, "node")
+        rest.join(classes.select("node", "n", "regs"), "node")
         .withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-        .groupBy("key", "hub", "far", "block", "blocks")
-        .agg(F.collect_list(F.struct("node", F.col("component.c").alias("c"), "component.alone", "n", "regs", "text")).alias("members"))
+        .groupBy("key", "block", "blocks")
+        .agg(F.collect_list(F.struct("node", "c.c", "c.alone", "n", "regs")).alias("members"))
     )
+    members = stage(members, "blocks")
     nothing = F.lit(None).cast(members.schema["members"].dataType)
-    alone = members.withColumn("others", nothing)
     several = members.filter("blocks > 1")
     left = several.withColumn("other", F.explode(F.sequence(F.col("block") + 1, F.col("blocks")))).filter("other < blocks")
     both = left.join(several.select("key", F.col("block").alias("other"), F.col("members").alias("others")), ["key", "other"])
-    columns = ["key", "hub", "far", "members", "others"]
+    work = members.select("key", "members", nothing.alias("others")).unionByName(both.select("key", "members", "others"))
 
     def read(value):
         flat = value.flatten()
         node, c, lone, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
         # a lone node's number may be another component's: tell them apart
-        return node, c * 2 + lone, n.astype(float), np.frombuffer(b"".join(flat.field(4).to_pylist()), np.uint16).reshape(-1, M), flat.field(5)
+        return node, c.view(U64) * U64(2) + lone.astype(U64), n.astype(float), np.frombuffer(b"".join(flat.field(4).to_pylist()), np.uint16).reshape(-1, M)
 
     def run(batches):
         for batch in sliced(batches):
-            found = []
             for i in range(batch.num_rows):
-                x, cx, nx, rx, tx = read(batch.column("members").slice(i, 1))
+                x, cx, nx, rx = read(batch.column("members").slice(i, 1))
                 same = not batch.column("others")[i].is_valid
-                y, cy, ny, ry, ty = (x, cx, nx, rx, tx) if same else read(batch.column("others").slice(i, 1))
-                cx, cy = cx.copy(), cy.copy()
-                band, hubs = batch.column("key")[i].as_py() & 63, [batch.column(c)[i].as_py() for c in ("hub", "far")]
-                sets: dict[tuple[bool, int], np.ndarray] = {}
-
-                def of(right: bool, j: int) -> np.ndarray:
-                    if (right, j) not in sets:
-                        sets[right, j] = _sets_of((ty if right else tx).slice(j, 1), k)[0]
-                    return sets[right, j]
-
-                tried = np.isin(y, hubs)
-                for j in np.flatnonzero(~np.isin(x, hubs)).tolist():
-                    rest = np.flatnonzero((cy != cx[j]) & ~tried & ((y > x[j]) if same else True))
-                    if not len(rest):
-                        continue
-                    equal = rx[j] == ry[rest]
-                    first = equal[:, : band * ROWS].reshape(len(rest), band, ROWS).all(axis=2).any(axis=1)
-                    likely = equal.sum(axis=1)
-                    keep = ~first & (likely >= least * M)
-                    rest, likely = rest[keep], likely[keep]
-                    if len(rest):
-                        near = _near(rx[j][None], ry[rest], nx[j : j + 1], ny[rest], least)
-                        rest, likely = rest[near], likely[near]
-                    for o in rest[np.argsort(-likely, kind="stable")].tolist():
-                        if cy[o] != cx[j] and _linked(of(False, j), of(not same, o), percent):
-                            found.append((x[j], y[o]))
-                            old, new = cy[o], cx[j]
-                            cx[cx == old] = new
-                            cy[cy == old] = new
-            yield _as_ids(*np.array(found, np.int64).reshape(-1, 2).T)
-
-    work = alone.select(*columns).unionByName(both.select(*columns))
-    return work.mapInArrow(run, "a long, b long")
+                y, cy, ny, ry = (x, cx, nx, rx) if same else read(batch.column("others").slice(i, 1))
+                band = batch.column("key")[i].as_py() & 63
+                found = []
+                for j in range(len(x)):
+                    other = np.flatnonzero((cy != cx[j]) & ((y > x[j]) if same else True))
+                    equal = rx[j] == ry[other]
+                    met = equal[:, : band * ROWS].reshape(len(other), band, ROWS).all(axis=2).any(axis=1)
+                    other = other[~met & (equal.sum(axis=1) >= least * M)]
+                    if len(other):
+                        other = other[_near(rx[j][None], ry[other], nx[j : j + 1], ny[other], least)]
+                        found.append(np.column_stack((np.full(len(other), x[j]), y[other])))
+                pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return stage(work.mapInArrow(run, "a long, b long"), "near")
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -330,58 +322,34 @@ def _sparse(links: DataFrame) -> DataFrame:
     return hubs.select(F.explode(rows).alias("x")).select("x.*").filter("b IS NOT NULL").distinct()
 
 
-def _texts(numbered: DataFrame) -> DataFrame:
-    """The texts of numbered documents by the row's number, in the column doc_id
-    of the functions above. Of copies without an id one is enough."""
-    columns = [F.col(ROW).alias("doc_id"), F.col("text").cast("string").alias("text")]
-    unnamed = numbered.filter("doc_id IS NULL").select(*columns).dropDuplicates(["doc_id"])
-    return numbered.filter("doc_id IS NOT NULL").select(*columns).unionByName(unnamed)
-
-
-def _judged(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """documents with ROW, and for each row: row (ROW), doc_id, n, component (the
-    least row of the group, null without shingles), component_id."""
-    numbered = _numbered(documents)
-    sketches = stage(sketch(numbered, k), "sketches")
-    # ids of different texts: their rows are told apart by their texts
-    of_set = F.struct("f1", "f2")
-    sets = sketches.groupBy("row").agg(F.min(of_set).alias("lo"), F.max(of_set).alias("hi"))
-    clashing = stage(sets.filter("lo <> hi").select("row"), "clashing")
-    clash = not clashing.isEmpty()
-    if clash:
-        numbered = _numbered(documents, clashing)
-        sketches = stage(sketch(numbered, k), "sketches")
-    apart = clash or not sketches.filter("doc_id IS NULL AND n > 0").isEmpty()
-    texts = _texts(numbered) if apart else numbered.select(F.col(ROW).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = F.min_by(F.struct("node", "n", "regs"), "row").alias("first")
-    ids = sketches.filter("n > 0").groupBy("f1", "f2").agg(F.min("row").alias("row"), F.min("doc_id").alias("id"), first)
-    classes = stage(ids.select("f1", "f2", F.col("row").alias("doc_id"), "id", "first.*"), "classes")
-    bands = _bands(classes)
-    hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far")).filter("hub <> far")
-    buckets = stage(bands.join(hubs, "key"), "buckets")
+def _judged(documents: DataFrame, k: int, percent: int) -> DataFrame:
+    """For each row of documents: doc_id, w1, w2 (_named), n, component_id and
+    stand (w1, w2 of the row that stands for its group; null without shingles)."""
+    sketches = stage(sketch(documents, k), "sketches")
+    classes = _classes(sketches)
+    buckets = _buckets(classes)
     least = percent / 100 - SLACK
     tries = F.explode(F.array(*(F.struct(F.col(c).alias("a"), F.col("node").alias("b")) for c in ("hub", "far")))).alias("x")
-    stars = buckets.select(tries).select("x.*").filter("a <> b").distinct()
-    links = stage(_verified(stage(_likely(stars, classes, least), "near"), texts, k, percent), "links")
-    links = stage(_sparse(links), "links")
+    stars = stage(buckets.select(tries).select("x.*").filter("a <> b").distinct(), "stars")
+    links = stage(_sparse(_verified(_likely(stars, classes, least), classes, documents, k, percent)), "links")
     labels = components(links)
     # the pairs of a bucket of up to three members were all tried
-    rest = stage(_labelled(buckets.filter("node <> hub AND node <> far"), _with_nodes(labels)), "rest")
+    rest = _undecided(buckets.filter("node <> hub AND node <> far").select("key", "node"), labels)
     if not rest.isEmpty():
-        more = stage(_across(rest, classes, texts, k, percent), "links")
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
-    groups = classes.select("f1", "f2", "id", F.col("doc_id").alias("node")).join(labels, "node", "left").select("f1", "f2", "id", F.coalesce("component", "node").alias("component"))
-    if apart:
-        # a row's number need not be an id
-        groups = stage(groups, "groups")
-        groups = groups.drop("id").join(groups.groupBy("component").agg(F.min("id").alias("id")), "component")
-    else:
-        groups = groups.withColumn("id", F.col("component"))
-    # only ids and fingerprints of the rows move
-    out = sketches.select("row", "doc_id", "n", "f1", "f2").join(groups, ["f1", "f2"], "left")
-    component, component_id = F.when(F.col("n") > 0, F.col("component")), F.when(F.col("n") > 0, F.col("id")).otherwise(F.col("doc_id"))
-    return numbered, out.select("row", "doc_id", "n", component.alias("component"), component_id.alias("component_id"))
+        pairs = _across(rest, classes, least)
+        if not pairs.isEmpty():
+            labels = components(links.unionByName(_verified(pairs, classes, documents, k, percent)))
+    first = F.struct(F.col("id").isNull().alias("unnamed"), "id", "w1", "w2")
+    linked = stage(classes.select("node", first.alias("first")).join(labels, "node"), "linked")
+    heads = stage(linked.groupBy("component").agg(F.min("first").alias("head"), F.count("*").alias("rows")), "heads")
+    of_node = spread_join(linked.select("node", "component"), heads.select("component", "head"), ["component"], F.col("node"), heads.select("component", "rows"))
+    groups = classes.join(of_node, "node", "left").withColumn("head", F.coalesce("head", first))
+    groups = groups.select("f1", "f2", F.col("head.id").alias("component_id"), F.struct("head.w1", "head.w2").alias("stand"))
+    # only ids and fingerprints of the rows move, and none of a row without shingles
+    rows = sketches.select("doc_id", "w1", "w2", "n", "f1", "f2", F.monotonically_increasing_id().alias("at"))
+    full = spread_join(rows.filter("n > 0"), groups, ["f1", "f2"], F.col("at"), classes.select("f1", "copies"))
+    blank = rows.filter("n = 0").select("doc_id", "w1", "w2", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("struct<w1:bigint,w2:bigint>").alias("stand"))
+    return full.select(*blank.columns).unionByName(blank)
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -397,7 +365,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     doc_id <=> component_id, so of repeated rows each is kept (keep_one of the
     pipeline drops repeats). An empty table gives an empty result.
     """
-    _, out = _judged(documents.select("doc_id", "text"), k, percent)
+    out = _judged(documents, k, percent)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
@@ -406,19 +374,17 @@ def keep_one(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     with all their columns: the one of the smallest doc_id, once if repeated.
     Rows that share an id but differ in text are judged each by its text. Texts
     without words and rows without an id are in no group and stay; a blank row
-    is dropped only as a repeat of its id and text."""
-    numbered, judged = _judged(documents, k, percent)
-    found = stage(judged.filter("doc_id IS NOT NULL"), "verdicts")
-    by_row = stage(found.groupBy("row").agg(*(F.min(c).alias(c) for c in ("doc_id", "component", "component_id")), F.count("*").alias("n")), "rows")
-    # a group's least id may have several rows of different texts: the least row stands for it
-    best = by_row.filter("component IS NOT NULL AND doc_id = component_id")
-    several = best.groupBy("component").agg(F.min("row").alias("stand"), F.count("*").alias("rows")).filter("rows > 1")
-    beside = best.join(several, "component").filter("row <> stand").select("row")
-    dropped = stage(by_row.filter("component IS NOT NULL AND doc_id <> component_id").select("row").unionByName(beside), "dropped")
-    repeated = stage(by_row.filter("n > 1 AND (component IS NULL OR doc_id = component_id)").select("row"), "repeated")
-    # a row without an id is never listed
-    key = "__near_key"
-    rows = numbered.withColumn(key, F.when(F.col("doc_id").isNotNull(), F.col(ROW)))
+    is dropped only as a repeat of its id and text. An empty table gives an
+    empty one. Rows are told apart by a 128-bit hash of id and text."""
+    name = F.struct("w1", "w2")
+    by_name = _judged(documents, k, percent).filter("doc_id IS NOT NULL").groupBy(name.alias("key")).agg(F.first("stand").alias("stand"), F.count("*").alias("rows"))
+    by_name = stage(by_name, "verdicts")
+    dropped = stage(by_name.filter("stand <> key").select("key"), "dropped")
+    repeated = stage(by_name.filter("rows > 1 AND NOT coalesce(stand <> key, false)").select("key"), "repeated")
+    # a row without an id has no key and is never listed
+    key = fresh(documents, "near_key")
+    ident, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    rows = documents.withColumn(key, F.when(ident.isNotNull(), F.struct(F.xxhash64(ident, text).alias("w1"), F.xxhash64(F.lit(1), ident, text).alias("w2"))))
     out = without_listed(rows, key, dropped)
     if not repeated.isEmpty():
         out = without_listed(out, key, repeated).unionByName(only_listed(out, key, repeated).dropDuplicates([key]))

@@ -56,15 +56,13 @@ def byte_values() -> np.ndarray:
     return values
 
 
-def powers(n: int) -> np.ndarray:
-    out = np.full(n, 0x5851F42D4C957F2D, U64)
-    out[0] = 1
-    return np.cumprod(out, dtype=U64)
-
-
 def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word, text after text, and the n + 1 offsets of the texts' words."""
-    sep, values, power = separators(), byte_values(), powers(1 << 16)
+    """The hash of every word, text after text, and the n + 1 offsets of the texts' words.
+
+    Every letter is mixed with its place before the sum: a fold that is linear
+    in the letters (a polynomial modulo 2^64) has colliding words for any base.
+    """
+    sep, values = separators(), byte_values()
     hashes, starts_of, at = [], [], 0
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -81,10 +79,7 @@ def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
         starts = np.flatnonzero(begin)
         if len(starts):
             place = np.arange(len(part)) - starts[np.maximum(np.cumsum(begin) - 1, 0)]
-            weight = power[place & 0xFFFF]
-            if len(part) > 0xFFFF and (far := place > 0xFFFF).any():
-                weight[far] *= mix((place[far] >> 16).astype(U64)) | U64(1)
-            letters = values[part] * weight
+            letters = mix(values[part] + place.astype(U64) * U64(0xD1342543DE82EF95))
             letters[~word] = 0
             hashes.append(mix(np.add.reduceat(letters, starts)))
             starts_of.append(starts + at)

@@ -6,18 +6,20 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import hitlens.llm.near_dup as near_dup
 import hitlens.llm.sentencepieces as sentencepieces
+import hitlens.llm.skew as skew
 from hitlens.llm.components import components
 from hitlens.llm.mixing import min_cost_flow, mix, mix_documents, route, target_sizes
 from hitlens.llm.near_dup import keep_one, likely_jaccard, minima, near_duplicates, registers
 from hitlens.llm.quality_model import isotonic, keep_good, quality_scores
 from hitlens.llm.quality_rules import keep_by_rules, quality_rules
 from hitlens.llm.sentencepieces import encode_documents, encoder
-from hitlens.llm.textkit import U64, mix as mixed, unmix
+from hitlens.llm.textkit import U64, mix as mixed, unmix, utf8, word_hashes
 from hitlens.llm.tokenizers import model_file
 
 SF = "/root/testdata/sf0.01"
@@ -118,6 +120,43 @@ def test_rows_that_share_an_id_are_judged_by_text(spark):
     assert sum(n for (i, _), n in got.items() if i == 6) == 1
 
 
+def brute_rows(rows, k):
+    """What near_duplicates gives for rows (doc_id, text) with null and shared ids."""
+    texts = sorted({t for _, t in rows})
+    groups = brute_components(dict(enumerate(texts)), k)
+    least = {}
+    for i, t in rows:
+        group = groups[texts.index(t)][1]
+        least[group] = min((x for x in (least.get(group), i) if x is not None), default=None)
+    return Counter((i, groups[texts.index(t)][0], least[groups[texts.index(t)][1]]) for i, t in rows)
+
+
+@pytest.mark.parametrize("least", [1, 256])
+def test_near_duplicates_of_odd_ids_equal_brute_force(spark, monkeypatch, least):
+    # with LEAST 1 and blocks of 3 every join takes its way for hot keys
+    monkeypatch.setattr(skew, "LEAST", least)
+    monkeypatch.setattr(near_dup, "BLOCK", 3)
+    w = [[f"{c}{i}" for i in range(300)] for c in "abcdef"]
+    x, y = varied(w[0]), varied(w[1])
+    rows = [(13, x), (13, y), (15, varied(w[0], 9)), (11, varied(w[1], 9))]
+    rows += [(1, varied(w[2])), (None, varied(w[2]) + " more"), (None, varied(w[2])), (1, varied(w[2]))]
+    rows += [(1, varied(w[3])), (None, varied(w[3], 20, 60, 100, 140, 180)), (2, varied(w[3], 20, 60, 100, 140, 180, 220, 240, 260, 270, 280))]
+    rows += [(None, varied(w[4], 3)), (None, varied(w[4], 200)), (30, "a b"), (31, "a b")] + [(40 + i, varied(w[5], *range(0, 11 * i, 11))) for i in range(24)]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute_rows(rows, 4)
+
+
+def test_word_hashes_have_no_structural_collisions():
+    def morse(bits, letters):
+        return "".join(letters[bin(i).count("1") % 2] for i in range(1 << bits))
+
+    words = [morse(b, letters) for b in (10, 11, 12, 16) for letters in ("ab", "ba")] + ["ab" * 600, "ba" * 600, "a" * 70000, "a" * 70001, "b" + "a" * 70000]
+    hashes, offsets = word_hashes(*utf8(pa.array([" ".join(words)])))
+    assert len(set(hashes.tolist())) == len(words) == offsets[1]
+    again, _ = word_hashes(*utf8(pa.array([f" x {v.upper()}" for v in words])))
+    assert again[1::2].tolist() == hashes.tolist()
+
+
 def test_sketches_estimate_and_merge():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 3000).astype(np.uint64)
