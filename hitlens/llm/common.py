@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,12 +38,28 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bounds the Arrow batches that go to Python workers while the block runs;
+    then the session has its own settings again."""
+    bounds = {"maxRecordsPerBatch": str(2000), "maxBytesPerBatch": str(8 << 20)}
+    own = {f"spark.sql.execution.arrow.{k}": spark.conf.get(f"spark.sql.execution.arrow.{k}") for k in bounds}
+    for k, v in bounds.items():
+        spark.conf.set(f"spark.sql.execution.arrow.{k}", v)
+    try:
+        yield
+    finally:
+        for name, v in own.items():
+            spark.conf.set(name, v)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, so a
     lost executor costs a reread and not a recomputation."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

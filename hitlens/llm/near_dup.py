@@ -19,7 +19,7 @@ smallest and the largest node, which a group of near copies shares in most of
 its buckets: linear in the bucket, and few pairs. Buckets whose members are
 then in different components are compared in blocks of about BLOCK members, by
 registers alone and across components only, each pair in its first common
-bucket; full sets are fetched for the pairs that the likelihood keeps. No
+bucket; full sets are fetched for the members that the likelihood keeps. No
 bucket is capped. Joins on keys that may be hot (buckets, hubs, components,
 classes) deal a hot key over several tasks.
 
@@ -42,7 +42,8 @@ from hitlens.llm.textkit import U64, mix, shingles, utf8, word_hashes
 
 M, ROWS = 200, 5
 BASE, RATE, Q = 1.001, 20.0, 65534
-BLOCK = 512
+#: Members of a block, and the elements of all their sets.
+BLOCK, BLOCK_WORDS = 512, 1 << 19
 #: A similarity estimate from M registers has a standard error of at most
 #: 0.0283 at 0.8: pairs 5 errors below the threshold are dropped (3e-7).
 SLACK = 5 * 0.0283
@@ -248,23 +249,32 @@ def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, k: int
     return stage(joined.select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long"), "links")
 
 
-def _undecided(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+def _undecided(buckets: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
     """The buckets that lie in several components, staged: key, node, c (the
-    component; a node without a label is one of its own) and blocks. buckets is staged."""
+    component; a node without a label is one of its own), n (size of the node's
+    set) and blocks (into which the bucket is cut). buckets is staged."""
     own = F.struct(F.coalesce("component", "node").alias("c"), F.col("component").isNull().alias("alone"))
     rows = stage(buckets.join(labels, "node", "left").select("key", "node", own.alias("c")), "labelled")
     several = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("rows")).filter("lo <> hi")
-    several = stage(several.select("key", "rows", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "several")
-    shared = maybe_listed(rows, "key", several.select("key"))
-    return stage(spread_join(shared, several.drop("rows"), ["key"], F.col("node"), several.select("key", "rows")), "rest")
-
-
-def _across(rest: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """The pairs of nodes (a, b) of a bucket and of different components that may
-    reach the similarity `least` by their registers, staged. Blocks of a bucket
-    are compared with each other: a task holds the registers of two."""
+    several = stage(several.select("key", "rows"), "several")
+    shared = maybe_listed(rows, "key", several.select("key")).join(classes.select("node", "n"), "node")
+    rest = stage(spread_join(shared, several.select("key"), ["key"], F.col("node"), several), "rest")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_WORDS)).cast("int")
+    return stage(spread_join(rest, rest.groupBy("key").agg(blocks.alias("blocks")), ["key"], F.col("node"), several), "rest")
+
+
+def _across(rest: DataFrame, classes: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) of nodes of a bucket and of different components: of those
+    that exist as many as join the components, staged.
+
+    Blocks of a bucket are compared with each other by their registers. What a
+    pair of blocks leaves is one row: the pairs that may reach the threshold,
+    each in its first common bucket, and the nodes in them. Only those nodes'
+    full sets are fetched, and a pair that is in one component by then is not
+    compared any more."""
+    least = percent / 100 - SLACK
     members = (
-        rest.join(classes.select("node", "n", "regs"), "node")
+        rest.join(classes.select("node", "regs"), "node")
         .withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
         .groupBy("key", "block", "blocks")
         .agg(F.collect_list(F.struct("node", "c.c", "c.alone", "n", "regs")).alias("members"))
@@ -274,7 +284,7 @@ def _across(rest: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     several = members.filter("blocks > 1")
     left = several.withColumn("other", F.explode(F.sequence(F.col("block") + 1, F.col("blocks")))).filter("other < blocks")
     both = left.join(several.select("key", F.col("block").alias("other"), F.col("members").alias("others")), ["key", "other"])
-    work = members.select("key", "members", nothing.alias("others")).unionByName(both.select("key", "members", "others"))
+    work = members.select("key", "block", F.col("block").alias("other"), "members", nothing.alias("others")).unionByName(both.drop("blocks"))
 
     def read(value):
         flat = value.flatten()
@@ -282,26 +292,58 @@ def _across(rest: DataFrame, classes: DataFrame, least: float) -> DataFrame:
         # a lone node's number may be another component's: tell them apart
         return node, c.view(U64) * U64(2) + lone.astype(U64), n.astype(float), np.frombuffer(b"".join(flat.field(4).to_pylist()), np.uint16).reshape(-1, M)
 
-    def run(batches):
+    def compare(batches):
         for batch in sliced(batches):
             for i in range(batch.num_rows):
                 x, cx, nx, rx = read(batch.column("members").slice(i, 1))
                 same = not batch.column("others")[i].is_valid
                 y, cy, ny, ry = (x, cx, nx, rx) if same else read(batch.column("others").slice(i, 1))
                 band = batch.column("key")[i].as_py() & 63
-                found = []
+                found = [np.zeros((0, 3), np.int64)]
                 for j in range(len(x)):
-                    other = np.flatnonzero((cy != cx[j]) & ((y > x[j]) if same else True))
+                    other = np.flatnonzero((cy != cx[j]) & (ny >= least * nx[j]) & (nx[j] >= least * ny) & ((y > x[j]) if same else True))
+                    if not len(other):
+                        continue
                     equal = rx[j] == ry[other]
-                    met = equal[:, : band * ROWS].reshape(len(other), band, ROWS).all(axis=2).any(axis=1)
-                    other = other[~met & (equal.sum(axis=1) >= least * M)]
-                    if len(other):
-                        other = other[_near(rx[j][None], ry[other], nx[j : j + 1], ny[other], least)]
-                        found.append(np.column_stack((np.full(len(other), x[j]), y[other])))
-                pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    return stage(work.mapInArrow(run, "a long, b long"), "near")
+                    likely = equal.sum(axis=1)
+                    keep = np.flatnonzero(likely >= least * M)
+                    met = equal[keep, : band * ROWS].reshape(len(keep), band, ROWS).all(axis=2).any(axis=1)
+                    keep = keep[~met]
+                    found.append(np.column_stack((likely[keep], np.full(len(keep), j), other[keep])))
+                pairs = np.concatenate(found)
+                good = [_near(rx[p[:, 1]], ry[p[:, 2]], nx[p[:, 1]], ny[p[:, 2]], least) for p in np.split(pairs, range(4096, len(pairs), 4096))]
+                pairs = pairs[np.concatenate(good)]
+                if not len(pairs):
+                    continue
+                pairs = pairs[np.argsort(-pairs[:, 0], kind="stable"), 1:]
+                nodes, at = np.unique(np.concatenate((x[pairs[:, 0]], y[pairs[:, 1]])), return_index=True)
+                owner = np.concatenate((cx[pairs[:, 0]], cy[pairs[:, 1]]))[at]
+                ends = np.searchsorted(nodes, np.column_stack((x[pairs[:, 0]], y[pairs[:, 1]]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).slice(i, 1) for c in ("key", "block", "other")), pa.array([nodes.tolist()], pa.list_(pa.int64())), pa.array([owner.tobytes()]), pa.array([ends.tobytes()])],
+                    names=["key", "block", "other", "nodes", "owner", "pairs"],
+                )
+
+    def verify(batches):
+        for batch in sliced(batches):
+            links = []
+            for i in range(batch.num_rows):
+                flat = batch.column("sets").slice(i, 1).flatten()
+                sets = {node: np.frombuffer(e.as_buffer(), U64) for node, e in zip(flat.field(0).to_pylist(), flat.field(1))}
+                nodes = batch.column("nodes")[i].as_py()
+                owner = np.frombuffer(batch.column("owner")[i].as_buffer(), U64).copy()
+                for a, b in np.frombuffer(batch.column("pairs")[i].as_buffer(), np.int32).reshape(-1, 2).tolist():
+                    if owner[a] != owner[b] and _linked(sets[nodes[a]], sets[nodes[b]], percent):
+                        links.append((nodes[a], nodes[b]))
+                        owner[owner == owner[b]] = owner[a]
+            yield pa.RecordBatch.from_arrays([pa.array([x[e] for x in links], pa.int64()) for e in (0, 1)], names=["a", "b"])
+
+    place = ["key", "block", "other"]
+    near = stage(work.mapInArrow(compare, "key long, block int, other int, nodes array<long>, owner binary, pairs binary"), "near")
+    needed = near.select(*place, F.explode("nodes").alias("node"))
+    sets = _full_sets(needed.select("node"), classes, documents, k)
+    gathered = needed.join(sets, "node").groupBy(*place).agg(F.collect_list(F.struct("node", "elements")).alias("sets"))
+    return stage(near.join(gathered, place).select("nodes", "owner", "pairs", "sets").mapInArrow(verify, "a long, b long"), "links")
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -334,11 +376,11 @@ def _judged(documents: DataFrame, k: int, percent: int) -> DataFrame:
     links = stage(_sparse(_verified(_likely(stars, classes, least), classes, documents, k, percent)), "links")
     labels = components(links)
     # the pairs of a bucket of up to three members were all tried
-    rest = _undecided(buckets.filter("node <> hub AND node <> far").select("key", "node"), labels)
+    rest = _undecided(buckets.filter("node <> hub AND node <> far").select("key", "node"), labels, classes)
     if not rest.isEmpty():
-        pairs = _across(rest, classes, least)
-        if not pairs.isEmpty():
-            labels = components(links.unionByName(_verified(pairs, classes, documents, k, percent)))
+        more = _across(rest, classes, documents, k, percent)
+        if not more.isEmpty():
+            labels = components(links.unionByName(more))
     first = F.struct(F.col("id").isNull().alias("unnamed"), "id", "w1", "w2")
     linked = stage(classes.select("node", first.alias("first")).join(labels, "node"), "linked")
     heads = stage(linked.groupBy("component").agg(F.min("first").alias("head"), F.count("*").alias("rows")), "heads")
