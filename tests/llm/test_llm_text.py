@@ -1,8 +1,10 @@
 """The text operators against brute force, and their edge cases."""
 
 import hashlib
+import math
 import random
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -17,7 +19,7 @@ from hitlens.llm.components import components
 from hitlens.llm.mixing import min_cost_flow, mix, mix_documents, route, target_sizes
 from hitlens.llm.near_dup import keep_one, likely_jaccard, minima, near_duplicates, registers
 from hitlens.llm.quality_model import isotonic, keep_good, quality_scores
-from hitlens.llm.quality_rules import keep_by_rules, quality_rules
+from hitlens.llm.quality_rules import WORDS, keep_by_rules, quality_rules
 from hitlens.llm.sentencepieces import encode_documents, encoder
 from hitlens.llm.textkit import U64, mix as mixed, unmix, utf8, word_hashes
 from hitlens.llm.tokenizers import model_file
@@ -265,6 +267,58 @@ def test_rules_equal_brute_force(spark, docs):
     assert got == want
 
 
+def brute_distances(rows, common):
+    """class_distance, word_distance and the method's verdict of each row (text, lang), by plain Python."""
+    classes = [lambda c: c.isupper() and unicodedata.category(c) == "Lu", lambda c: c.isalpha() and unicodedata.category(c) != "Lu" and not "a" <= c <= "z", lambda c: unicodedata.category(c)[0] == "N", lambda c: c in ".,;:?'’-", lambda c: c == "!", lambda c: c in "#*$%&|<>"]
+
+    def shares(text):
+        w = re.findall("[^\x20\x09-\x0d]+", text or "")
+        chars = [c for x in w for c in x]
+        kind = Counter("l" if "a" <= c <= "z" else next((i for i, f in enumerate(classes) if f(c)), 6) for c in chars)
+        of = Counter(x for x in w if x in common)
+        p = [kind[i] / max(len(chars), 1) for i in [*range(7), "l"]]
+        return len(w), p, [of[x] / max(len(w), 1) for x in common] + [1 - sum(of.values()) / max(len(w), 1)]
+
+    measured = [(lang, *shares(text)) for text, lang in rows]
+    known = []
+    for lang in sorted({r[0] for r in measured if r[0] and r[1] >= 50}):
+        mine = [r for r in measured if r[0] == lang and r[1] >= 50]
+        middle = [[sorted(round(r[part][i] * 65536) for r in mine)[(len(mine) - 1) // 2] for i in range(len(mine[0][part]))] for part in (2, 3)]
+        known.append([[x / sum(m) for x in m] for m in middle])
+
+    def distance(p, q):
+        def half(a, b):
+            return a * math.log2(2 * a / (a + b)) if a > 0 else 0
+
+        return math.sqrt(max(sum(half(a, b) + half(b, a) for a, b in zip(p, q)) / 2, 0))
+
+    out = []
+    for _, n, p, w in measured:
+        far = [(distance(p, q[0]), distance(w, q[1]), distance([0] * len(common) + [1], q[1])) for q in known]
+        fits = n < 50 or any(a <= 0.22 and b <= 0.95 * c for a, b, c in far)
+        out.append((min(f[0] for f in far), min(f[1] for f in far), fits) if n >= 50 else (None, None, True))
+    return out
+
+
+def test_rules_distances_equal_brute_force(spark, docs):
+    rows = docs.select("doc_id", "text", "lang")
+    found = rows.collect()
+    want = {r.doc_id: d for r, d in zip(found, brute_distances([(r.text, r.lang) for r in found], WORDS))}
+    out = quality_rules(rows).collect()
+    for r in out:
+        a, b, fits = want[r.doc_id]
+        assert (r.class_distance, r.word_distance) == ((None, None) if a is None else (pytest.approx(a, abs=2e-4), pytest.approx(b, abs=2e-4)))
+        assert r.kept == (fits and not r.base_failed)
+    assert sorted(out) == sorted(quality_rules(rows.repartition(7)).collect())
+
+
+def test_rules_of_a_language_with_one_document(spark, docs):
+    text = " ".join(f"слово{i % 30} и не" for i in range(60))
+    rows = spark.createDataFrame([(-1, text, "ru"), (-2, text, "uk"), (-3, "1234 " * 3 + text, None)], "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in quality_rules(docs.select("doc_id", "text", "lang").union(rows)).filter("doc_id < 0").collect()}
+    assert all(r.class_distance < 0.22 and r.kept == (not r.base_failed) for r in out.values())
+
+
 def test_rules_keep_the_good(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     out = quality_rules(docs).join(labels, "doc_id").filter("NOT base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
