@@ -6,14 +6,15 @@ cut at blocks of BLOCK documents whose largest impact is stored. Document
 frequencies, the number of documents and their mean length are global, so
 scores of different shards compare.
 
-Search: a task holds one shard at a time and a bounded superblock of queries.
-This is a two-step block-bound filter in place of block-max WAND: for a query
-the block maxima add up to a bound for every block; the two blocks of the best
-bounds are scored and set the threshold once, and then all other blocks are
-scored but those whose bound is below it, which are never opened. There are no
-pivots, and the threshold does not rise again within a shard; it is carried on
-to the next shard of the task. Shards' lists
-merge exactly: ties are broken by doc_id everywhere.
+Search: a task holds a few shards, one after the other, and a few files of
+queries. This is a two-step block-bound filter in place of block-max WAND: for
+a query the block maxima add up to a bound for every block; the two blocks of
+the best bounds are scored and set the threshold once, and then all other
+blocks are scored but those whose bound is below it, which are never opened.
+The threshold is carried on to the next shard of the task. (Opening blocks in
+steps with a threshold that rises after each step was tried: it costs more than
+it prunes, see README.) Shards' lists merge exactly: ties are broken by doc_id
+everywhere.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ BLOCK = 64
 K1, B = 1.2, 0.75
 #: Scores are rounded to so many digits before they are compared.
 DIGITS = 6
-#: Queries in a file, and files in a superblock, whose best lists a task holds.
-QUERY_FILE, SUPERBLOCK = 256, 64
+#: Queries in a file, and the files and the shards that are one piece of work.
+QUERY_FILE, FILES, SHARDS = 256, 4, 8
 
 
 def invert(words: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
@@ -227,6 +228,14 @@ class Shard:
         return self.ids[found], rounded[found]
 
 
+def _lists(named: DataFrame, size: int, name: str) -> DataFrame:
+    """The column file of named in lists of `size` (the last of about a thousand may be shorter)."""
+    parts = max(1, named.count() // 1000)
+    place = F.row_number().over(Window.partitionBy("part").orderBy("file"))
+    dealt = named.select("file", F.pmod(F.xxhash64("file"), F.lit(parts)).alias("part")).withColumn("list", F.floor((place - 1) / size))
+    return dealt.groupBy("part", "list").agg(F.sort_array(F.collect_list("file")).alias(name)).select(name)
+
+
 def _merge(held, ids, scores, k):
     ids, scores = np.concatenate((held[0], ids)), np.concatenate((held[1], scores))
     order = np.lexsort((ids, -scores))[:k]
@@ -257,16 +266,13 @@ def top_k(documents: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     weighted = terms.join(frequencies, "term").select("query_id", "term", (F.col("tf") * idf).alias("weight"))
     per_query = weighted.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("terms"))
     blocks = _query_files(per_query, folder)
-    # work: groups of shards by superblocks of query files; names only
-    groups = max(1, 2 * spark.sparkContext.defaultParallelism)
-    by_group = shards.groupBy(F.pmod(F.xxhash64("file"), F.lit(groups)).alias("g")).agg(F.sort_array(F.collect_list("file")).alias("files"))
-    numbered = blocks.withColumn("s", F.floor(F.row_number().over(Window.orderBy("file")) / SUPERBLOCK))
-    supers = numbered.groupBy("s").agg(F.collect_list("file").alias("queries"))
-    work = by_group.crossJoin(supers)
+    # names only: each piece of work is a few shards and a few files of queries
+    work = _lists(shards, SHARDS, "files").crossJoin(_lists(blocks, FILES, "queries"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
 
     def run(batches):
         files, folder_at = _open(folder)
-        for batch in batches:
+        for batch in sliced(batches, 1):
             for names, query_names in zip(batch.column("files").to_pylist(), batch.column("queries").to_pylist()):
                 asked = [_load(files, f"{folder_at}/{q}") for q in query_names]
                 held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -283,7 +289,8 @@ def top_k(documents: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                     if len(ids):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), asked[a]["ids"][i])), pa.array(ids), pa.array(scores)], names=["query_id", "doc_id", "score"])
 
-    found = work.repartition(groups, "g", "s").mapInArrow(run, "query_id long, doc_id long, score double")
+    # dealt in turn, so that tasks have equal numbers of pieces
+    found = work.repartition(tasks).mapInArrow(run, "query_id long, doc_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 

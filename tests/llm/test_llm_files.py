@@ -19,6 +19,7 @@ from hitlens.llm.oracles import ORACLES  # noqa: E402
 from hitlens.llm.queries import QUERIES, URL_RULES  # noqa: E402
 from hitlens.llm.token_scan import document_lengths  # noqa: E402
 from hitlens.llm.tokenizers import model_file, word_pattern  # noqa: E402
+import hitlens.llm.topk_search as topk_search
 from hitlens.llm.topk_search import top_k  # noqa: E402
 from hitlens.llm.url_filter import judge_urls  # noqa: E402
 from hitlens.llm.warc import archive_and_read, build_index, capture_key, find, read_records, write_archives  # noqa: E402
@@ -126,6 +127,32 @@ def test_search_equals_scoring_everything(spark):
             assert got[q, rank][1] == pytest.approx(-s, abs=2e-6)
 
 
+@pytest.mark.parametrize("sizes", [(1 << 23, 64), (900, 4)])
+def test_search_ranks_and_rows(spark, monkeypatch, sizes):
+    # with small shards and blocks most blocks are never opened
+    monkeypatch.setattr(topk_search, "SHARD_WORDS", sizes[0])
+    monkeypatch.setattr(topk_search, "BLOCK", sizes[1])
+    rng = random.Random(6)
+    words = [f"w{int(rng.paretovariate(0.6))}" for _ in range(3000)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 50)))) for i in range(500)]
+    rows += [(500 + i, rows[i][1]) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.query_id, r["rank"], r.doc_id) for r in top_k(docs, docs.filter("doc_id % 7 = 0").withColumnRenamed("doc_id", "query_id"), 4).collect())
+    counts = {i: Counter(t.split()) for i, t in rows}
+    df = Counter(w for c in counts.values() for w in c)
+    size = {i: sum(c.values()) for i, c in counts.items()}
+    mean, n, want = sum(size.values()) / len(rows), len(rows), []
+    for q in range(0, n, 7):
+        scores = []
+        for d, c in counts.items():
+            s = sum(m * np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * size[d] / mean)) for w, m in counts[q].items() if w in c)
+            if d != q and round(s, 6) > 0:
+                scores.append((-round(s, 6), d))
+        want += [(q, rank, d) for rank, (_, d) in enumerate(sorted(scores)[:4], 1)]
+    # two scores that differ by less than the rounding may change places
+    assert len(got) == len(want) and len(set(got) ^ set(want)) <= 2
+
+
 def test_urls(spark):
     rows = [
         (1, "http://WWW.Example.com/en/x"),
