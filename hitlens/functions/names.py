@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from hitlens.schema import LEVELS
 
-#: Groups 1 to 4 are family, superfamily, fold and class.
+#: Fixed value: the label format. Groups 1 to 4 are family, superfamily, fold and class.
 LINEAGE = r"(((([a-z])\.\d+)\.\d+)\.\d+)"
-HEADER = r"^(\S+)\s+(.+)$"
 
 
 def token(c: Column, i: int) -> Column:

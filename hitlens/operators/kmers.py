@@ -108,15 +108,27 @@ def compare_sets(posts: DataFrame, key: str = "name", element: str = "hashval")
     )
 
 
-def matching_kmers(rows: DataFrame, signature: DataFrame, first: bool = False) -> DataFrame:
+def matching_kmers(rows: DataFrame, signature: DataFrame, first: bool = False, keep: list[str] | None = None) -> DataFrame:
     """The k-mers (kmer_rows) whose hash is in signature (hashval): KMER_MATCHES
-    rows with the unsigned hash. first: only the first one of each sequence."""
+    rows with the unsigned hash, and the columns keep of rows. first: only the
+    first one of each file, or without a kept column filename of each sequence;
+    sequences are in the order of a kept column place, if there is one."""
+    keep = keep or []
     hashed = rows.select("encoded").distinct().withColumn("hashval", hashval(F.col("encoded"))).join(signature.select("hashval").distinct(), "hashval", "left_semi")
-    found = rows.join(hashed, "encoded").select(F.col("kmer").alias("kmer_in_sequence"), F.col("encoded").alias("kmer_in_alphabet"), unsigned(F.col("hashval")).alias("hashval"), "start", F.col("name").alias("read_name"))
+    found = rows.join(hashed, "encoded").select(F.col("kmer").alias("kmer_in_sequence"), F.col("encoded").alias("kmer_in_alphabet"), unsigned(F.col("hashval")).alias("hashval"), "start", F.col("name").alias("read_name"), *keep)
     if not first:
         return found
-    rest = [c for c in found.columns if c != "read_name"]
-    return found.groupBy("read_name").agg(F.min_by(F.struct(*rest), "start").alias("f")).select("f.*", "read_name")
+    key = "filename" if "filename" in keep else "read_name"
+    order = F.struct(*(["place"] if "place" in keep else []), "read_name", "start")
+    return found.groupBy(F.col(key).alias("key")).agg(F.min_by(F.struct(*found.columns), order).alias("f")).select("f.*")
+
+
+def merge_kmers(a: DataFrame, b: DataFrame, on: list[str], suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
+    """The inner join of two k-mer tables; of the other columns those that both
+    have get the suffixes."""
+    both = (set(a.columns) & set(b.columns)) - set(on)
+    sides = [df.select(*(F.col(c).alias(c + end if c in both else c) for c in df.columns)) for df, end in zip((a, b), suffixes)]
+    return sides[0].join(sides[1], on)
 
 
 def islands(matches: DataFrame, keys: list[str]) -> DataFrame:

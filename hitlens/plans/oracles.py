@@ -223,6 +223,10 @@ ORACLES = {
         """SELECT q AS query, m AS match, sq.n AS n_query, sm.n AS n_match, i AS common, sq.n - i AS only_query, sm.n - i AS only_match, sq.n + sm.n - i AS union, round(i / sq.n, 9) AS containment,
         round(i / least(sq.n, sm.n), 9) AS max_containment, round(i / (sq.n + sm.n - i), 9) AS jaccard FROM pair JOIN size sq ON sq.key = q JOIN size sm ON sm.key = m WHERE i > 1"""
     ),
+    "kmer_containment_all": _with(
+        """SELECT q AS query, m AS match, sq.n AS n_query, sm.n AS n_match, i AS common, sq.n - i AS only_query, sm.n - i AS only_match, sq.n + sm.n - i AS union, round(i / sq.n, 9) AS containment,
+        round(i / least(sq.n, sm.n), 9) AS max_containment, round(i / (sq.n + sm.n - i), 9) AS jaccard FROM pair JOIN size sq ON sq.key = q JOIN size sm ON sm.key = m"""
+    ),
     "kmer_counts": f"WITH {_SEQ}, {_rows(5, f'translate(s, {_translate(HP)})')} SELECT encoded, count(*) AS n FROM km GROUP BY 1",
     "canonical_kmers": """WITH seq AS (SELECT p_partkey AS key, regexp_replace(translate(upper(p_name), 'BDEFHIJKLMNOPQRSUVWXYZ ', 'ACGTACGTACGTACGTACGTAC'), '[^ACGT]', '', 'g') AS s FROM part),
     km AS (SELECT substr(s, i, 4) AS kmer FROM (SELECT s, unnest(range(1, greatest(length(s) - 2, 1))) AS i FROM seq))

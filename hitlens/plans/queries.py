@@ -321,6 +321,12 @@ def kmer_containment(spark, sf):
     return rounded(out.filter("common > 1"), "containment", "max_containment", "jaccard")
 
 
+@query
+def kmer_containment_all(spark, sf):
+    """Pairs that share one element, too."""
+    return rounded(kmers.compare_sets(A.postings(spark, sf), "key", "element"), "containment", "max_containment", "jaccard")
+
+
 @query
 def kmer_counts(spark, sf):
     return kmers.kmer_counts(kmers.kmer_rows(A.sequences(spark, sf), 5, "hp"))

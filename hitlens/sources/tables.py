@@ -45,9 +45,34 @@ def sweep(spark: SparkSession, root: str, moltypes: list[str], ksizes: range, sc
     return reader.option("ignoreMissingFiles", "true").parquet(root).filter(F.col("moltype").isin(moltypes) & F.col("ksize").between(ksizes.start, ksizes.stop - 1))
 
 
-def save(df: DataFrame, path: str, kind: str = "parquet", skip_existing: bool = False, partition_by: list[str] = (), max_records: int = 0, sep: str = ",") -> None:
-    """Write df; skip_existing leaves an existing result as it is, else it is replaced."""
+def result_path(root: str, moltype: str, ksize: int, kind: str = "parquet", filtered: bool = False) -> str:
+    """Where a sweep keeps the result of one moltype and ksize, as a file or folder of its own."""
+    end = {"parquet": ".pq", "csv": ".csv"}[kind]
+    return f"{root.rstrip('/')}/multisearch.{moltype}.k{ksize}{'.filtered' if filtered else ''}{end}"
+
+
+def sweep_files(spark: SparkSession, root: str, moltypes: list[str], ksizes: range, kind: str = "parquet", schema: StructType | None = None, filtered: bool = False) -> DataFrame | None:
+    """The union of the results that result_path names, with moltype and ksize;
+    missing ones are left out. None if there is none."""
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = None
+    for moltype in moltypes:
+        for ksize in ksizes:
+            path = files.Path(result_path(root, moltype, ksize, kind, filtered))
+            if path.getFileSystem(conf).exists(path):
+                one = load(spark, path.toString(), kind, schema).withColumns({"moltype": F.lit(moltype), "ksize": F.lit(ksize)})
+                out = one if out is None else out.unionByName(one)
+    return out
+
+
+def save(df: DataFrame, path: str, kind: str = "parquet", skip_existing: bool = False, partition_by: list[str] = (), max_records: int = 0, sep: str = ",", row_group_bytes: int = 0) -> None:
+    """Write df; skip_existing leaves an existing result as it is, else it is
+    replaced. max_records: rows of a file; row_group_bytes: size of a Parquet
+    row group (0: Spark's own)."""
     writer = df.write.mode("ignore" if skip_existing else "overwrite").option("maxRecordsPerFile", max_records)
+    if row_group_bytes:
+        writer = writer.option("parquet.block.size", row_group_bytes)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if kind == "csv":

@@ -1,5 +1,6 @@
 """Readers, writers, the command line and incremental cleaning."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from hitlens import match_kmers
@@ -39,6 +40,42 @@ def test_command_line(spark, tmp_path):
     assert n == 2 and spark.read.csv(str(tmp_path / "k"), header=True).count() == 2
 
 
+def test_command_line_outputs(spark, tmp_path):
+    (tmp_path / "a.fasta").write_text(">one text\nMTRC\nMTRC\n>two\nMTRC\n")
+    (tmp_path / "b.fasta").write_text(">three\nGGGG\n>four\nAMTR\n")
+    sig, files = signature(tmp_path, ["hpp"]), [str(tmp_path / f) for f in ("a.fasta", "b.fasta")]
+    rest = ["-k", "3", "--input-is-protein", "--hp", "--output-kmers", str(tmp_path / "k"), "--output-sequences", str(tmp_path / "s")]
+    assert match_kmers.main([sig, *files, *rest]) == 4
+    found = spark.read.csv(str(tmp_path / "k"), header=True)
+    assert found.columns == ["kmer_in_sequence", "kmer_in_alphabet", "hashval", "start", "read_name", "filename"]
+    assert {(r.read_name, r.start, r.filename.split("/")[-1]) for r in found.collect()} == {("one", "0", "a.fasta"), ("one", "4", "a.fasta"), ("two", "0", "a.fasta"), ("four", "1", "b.fasta")}
+    # the whole record goes to the FASTA file, under the annotated name
+    written = {r.name: r.sequence for r in sequences.read_fasta(spark, str(tmp_path / "s")).collect()}
+    u = murmur_of(["hpp"])[0] % 2**64
+    assert written == {f"{n}|hashval:{u}|kmer:MTR|kmer_encoded:hpp": t for n, t in (("one", "MTRCMTRC"), ("two", "MTRC"), ("four", "AMTR"))}
+    assert match_kmers.main([sig, *files, *rest, "--first"]) == 2
+    assert {(r.read_name, r.start) for r in spark.read.csv(str(tmp_path / "k"), header=True).collect()} == {("one", "0"), ("four", "1")}
+
+
+def test_command_line_refuses_nucleotides(spark, tmp_path):
+    (tmp_path / "a.fasta").write_text(">one\nACGTACGTACGT\n")
+    for k in ("9", "8"):
+        with pytest.raises(ValueError):
+            match_kmers.main([signature(tmp_path, ["hpp"]), str(tmp_path / "a.fasta"), "-k", k, "--hp"])
+
+
+def test_shipped_layout_of_signatures(spark, tmp_path):
+    # the fields and order of the files that the upstream tool writes, more than one sketch, no name in the second
+    mins = sorted(h % 2**64 for h in murmur_of(["hhhhhhhh", "pppppppp", "hphphphph"]))
+    sketch = '{"num":0,"ksize":%d,"seed":42,"max_hash":18446744073709551615,"mins":[%s],"md5sum":"x","molecule":"hp"}'
+    head = '{"class":"sourmash_signature","email":"","hash_function":"0.murmur64","filename":"dir/f.fasta",%s"license":"CC0","signatures":[%s],"version":0.4}'
+    two = ",".join(sketch % (k, ",".join(map(str, mins))) for k in (24, 27))
+    (tmp_path / "q.sig").write_text("[" + head % ('"name":"bcl2 human",', two) + "," + head % ("", sketch % (24, "7")) + "]")
+    out = {(r.name, r.ksize): [int(m) for m in r.mins] for r in sequences.read_signatures(spark, str(tmp_path / "q.sig")).collect()}
+    assert out == {("bcl2", 24): mins, ("bcl2", 27): mins, ("dir/f.fasta", 24): [7]}
+    assert mins == sorted([6405245933721206635, 2117825812541169435, 9056980627444632316])
+
+
 def test_tables(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.0)], "query_name string, jaccard double")
     tables.save(df, str(tmp_path / "x.csv"), "csv")
