@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hitlens.functions.names import last_token
+from hitlens.operators.metrics import quantiles, running
 from hitlens.operators.retrieval import scores_long
 from hitlens.schema import LEVELS
 
@@ -31,14 +32,37 @@ def score_summary(long: DataFrame, groups: list[str]) -> DataFrame:
     """Mean, median, quartiles, spread and count of score_value; infinite and NaN values count as missing."""
     v = F.col("score_value")
     good = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
-    return long.groupBy(*groups).agg(
-        F.count(good).alias("n"),
-        F.avg(good).alias("mean"),
-        F.median(good).alias("median"),
-        F.percentile(good, 0.25).alias("q1"),
-        F.percentile(good, 0.75).alias("q3"),
-        F.stddev_samp(good).alias("sd"),
-    )
+    rows = long.select(*groups, good.alias("score_value"))
+    sums = rows.groupBy(*groups).agg(F.count("score_value").alias("n"), F.avg("score_value").alias("mean"), F.stddev_samp("score_value").alias("sd"))
+    middle = quantiles(rows, groups, "score_value", {"median": 0.5, "q1": 0.25, "q3": 0.75})
+    return sums.join(middle, groups, "left").select(*groups, "n", "mean", "median", "q1", "q3", "sd")
+
+
+def summary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, n, mean, sd, least, most) of each numeric column, NULLs left out."""
+    long = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], columns, "column_name", "v")
+    return long.groupBy("column_name").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.min("v").alias("least"), F.max("v").alias("most"))
+
+
+def mean_interval(df: DataFrame, groups: list[str], value: str, width: float = 1.96) -> DataFrame:
+    """(groups, n, mean, low, high): the mean and width standard errors around it."""
+    out = df.groupBy(*groups).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    error = F.lit(width) * F.col("sd") / F.sqrt("n")
+    return out.select(*groups, "n", "mean", (F.col("mean") - error).alias("low"), (F.col("mean") + error).alias("high"))
+
+
+def cumulative_share(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """(groups, value, n, share): the share of a group's rows up to each distinct value."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("n"))
+    totals = counts.groupBy(*groups).agg(F.sum("n").alias("all"))
+    out = running(counts, groups, value, ["n"]).join(totals, groups)
+    return out.select(*groups, value, "n", (F.col("upto_n") / F.col("all")).alias("share"))
+
+
+def per_group(df: DataFrame, keys: list[str], function, schema) -> DataFrame:
+    """A Python function of each group's pandas frame, for what column functions
+    cannot say. A group is one task's memory: groups have to be small."""
+    return df.groupBy(*keys).applyInPandas(function, schema)
 
 
 def histogram(df: DataFrame, groups: list[str], column: str, low: float, high: float, bins: int) -> DataFrame:

@@ -8,6 +8,8 @@ many thresholds is not one task's work.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +18,40 @@ from pyspark.sql.window import Window
 RANGES = 64
 
 
+def running(counts: DataFrame, groups: list[str], value: str, sums: list[str], descending: bool = False) -> DataFrame:
+    """counts (a row for each group and distinct value) with upto_{s} for each of
+    sums: the running sum over the values, made in two levels: within ranges of
+    the value, then over the ranges."""
+    cuts = counts.groupBy(*groups).agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 1000).alias("cuts"))
+    before = F.filter("cuts", lambda c: c >= F.col(value) if descending else c < F.col(value))
+    placed = _joined(counts, cuts, groups).withColumn("range", F.size(before)).drop("cuts")
+    totals = placed.groupBy(*groups, "range").agg(*(F.sum(s).alias(f"of_{s}") for s in sums))
+    earlier = Window.partitionBy(*groups).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*groups, "range", *(F.coalesce(F.sum(f"of_{s}").over(earlier), F.lit(0)).alias(f"from_{s}") for s in sums))
+    within = Window.partitionBy(*groups, "range").orderBy(F.desc(value) if descending else F.asc(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = _joined(placed, starts, [*groups, "range"])
+    return out.select(*counts.columns, *((F.col(f"from_{s}") + F.sum(s).over(within)).alias(f"upto_{s}") for s in sums))
+
+
+def quantiles(df: DataFrame, groups: list[str], value: str, parts: dict[str, float]) -> DataFrame:
+    """(groups, a column for each of parts): exact quantiles with interpolation
+    between neighbours, from the counts of distinct values. Null values are left out."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("v")).agg(F.count("*").alias("rows"))
+    totals = counts.groupBy(*groups).agg(F.sum("rows").alias("all"))
+    t = _joined(running(counts, groups, "v", ["rows"]), totals, groups)
+    first, last = F.col("upto_rows") - F.col("rows"), F.col("upto_rows") - 1
+
+    def at(place):
+        return F.max(F.when((first <= place) & (place <= last), F.col("v")))
+
+    columns = []
+    for name, part in parts.items():
+        place = (F.col("all") - 1) * F.lit(float(part))
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        columns.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+    return t.groupBy(*groups).agg(*columns)
+
+
 def thresholds(df: DataFrame, groups: list[str], label: str, score: str) -> DataFrame:
     """(groups, threshold, tp, fp, p, n): cumulative counts at each distinct
     score, descending. Rows with a NULL label or a NULL or NaN score are left
@@ -23,31 +59,35 @@ def thresholds(df: DataFrame, groups: list[str], label: str, score: str) -> Data
     y = F.col(label).cast("int")
     rows = df.filter(y.isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
     counts = rows.groupBy(*groups, F.col(score).cast("double").alias("threshold")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
-    totals = counts.groupBy(*groups).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.percentile_approx("threshold", [i / RANGES for i in range(1, RANGES)], 1000).alias("cuts"))
-    totals = totals.filter("p > 0 AND n > 0")
-    joined = _joined(counts, totals, groups).withColumn("range", F.size(F.filter("cuts", lambda c: c >= F.col("threshold")))).drop("cuts")
-    sums = joined.groupBy(*groups, "range").agg(F.sum("pos").alias("rp"), F.sum("neg").alias("rn"))
-    above = Window.partitionBy(*groups).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*groups, "range", F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("rn").over(above), F.lit(0)).alias("n0"))
-    within = Window.partitionBy(*groups, "range").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = _joined(joined, starts, [*groups, "range"])
-    return out.select(*groups, "threshold", (F.col("p0") + F.sum("pos").over(within)).alias("tp"), (F.col("n0") + F.sum("neg").over(within)).alias("fp"), "p", "n", "pos", "neg")
+    totals = counts.groupBy(*groups).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).filter("p > 0 AND n > 0")
+    out = running(_joined(counts, totals, groups), groups, "threshold", ["pos", "neg"], descending=True)
+    return out.select(*groups, "threshold", F.col("upto_pos").alias("tp"), F.col("upto_neg").alias("fp"), "p", "n", "pos", "neg")
 
 
 def _joined(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, keys) if keys else a.crossJoin(F.broadcast(b))  # without groups b is one row
 
 
+#: Scorers over the rows of thresholds: a threshold adds pos/p of recall at its
+#: precision, and a trapezoid of the ROC.
+SCORERS: dict[str, Callable[[], Column]] = {
+    "average_precision": lambda: F.sum(F.col("pos") / F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))),
+    "roc_auc": lambda: F.sum(F.col("neg") / F.col("n") * (F.col("tp") - F.col("pos") / 2) / F.col("p")),
+    "prevalence": lambda: F.first("p") / (F.first("p") + F.first("n")),
+}
+
+
 def binary_scores(df: DataFrame, groups: list[str], label: str, score: str) -> DataFrame:
     """(groups, average_precision, roc_auc, positives, negatives)."""
-    t = thresholds(df, groups, label, score)
-    # a threshold adds pos/p of recall at its precision, and a trapezoid of the ROC
-    return t.groupBy(*groups).agg(
-        F.sum(F.col("pos") / F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("average_precision"),
-        F.sum(F.col("neg") / F.col("n") * (F.col("tp") - F.col("pos") / 2) / F.col("p")).alias("roc_auc"),
-        F.first("p").alias("positives"),
-        F.first("n").alias("negatives"),
-    )
+    scores = [SCORERS[s]().alias(s) for s in ("average_precision", "roc_auc")]
+    return thresholds(df, groups, label, score).groupBy(*groups).agg(*scores, F.first("p").alias("positives"), F.first("n").alias("negatives"))
+
+
+def score_table(df: DataFrame, groups: list[str], label: str, score: str, scorers: dict[str, Callable[[], Column]] | None = None) -> DataFrame:
+    """(groups, metric, value): a row for each group and scorer (name -> aggregate over thresholds' rows)."""
+    scorers = SCORERS if scorers is None else scorers
+    wide = thresholds(df, groups, label, score).groupBy(*groups).agg(*(make().cast("double").alias(name) for name, make in scorers.items()))
+    return wide.unpivot(groups, list(scorers), "metric", "value")
 
 
 def pr_curve(df: DataFrame, groups: list[str], label: str, score: str) -> DataFrame:

@@ -9,14 +9,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from hitlens.operators.hits import clean_hits
 from hitlens.operators.lineage import extract_metadata, renamed, with_level_sizes
-from hitlens.schema import COUNTS
+from hitlens.schema import COUNTS, HITS
+from hitlens.sources.staging import shared_path
+from hitlens.sources.tables import load, save
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 SCORES = ["containment", "max_containment", "jaccard", "intersect_hashes", "log10_jaccard"]
 LOGGED = ["containment", "max_containment", "jaccard"]
+STORED_COLUMNS = ["query_name", "query_md5", "match_name", "match_md5", "containment", "max_containment", "jaccard", "intersect_hashes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,8 +50,24 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bought.select(F.col("o_custkey").alias("key"), F.col("l_partkey").alias("element")).distinct()
 
 
+#: (application, folder of tables) -> where its hits are.
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw hits of all customers with all, themselves included."""
+    """Raw hits of all customers with all, themselves included: a scan of the
+    file that the first call in a session writes."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORED:
+        path = shared_path(spark, "hits")
+        save(made_hits(spark, sf_dir), path)
+        _STORED[key] = path
+    declared = StructType([f for f in HITS if f.name in STORED_COLUMNS])
+    return load(spark, _STORED[key], "parquet", declared)
+
+
+def made_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits, computed from the tables."""
     posts = postings(spark, sf_dir)
     sizes = posts.groupBy("key").agg(F.count("*").alias("n"))
     shared = posts.toDF("q", "element").join(posts.toDF("m", "element"), "element").groupBy("q", "m").agg(F.count("*").cast("double").alias("intersect_hashes"))
@@ -70,6 +90,11 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_hits(hits(spark, sf_dir), query_metadata(spark, sf_dir), match_metadata(spark, sf_dir), LOGGED, "protein", 10)
 
 
+def tied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean hits with rounded scores, so that both engines see the same ties."""
+    return clean(spark, sf_dir).withColumns({c: F.round(c, 9) for c in (*LOGGED, "log10_jaccard")})
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(name, sequence): part names as upper-case letters."""
     letters = F.upper(F.regexp_replace("p_name", "[^A-Za-z]", ""))

@@ -9,6 +9,7 @@ from hitlens.functions.murmur import sketch_md5
 from hitlens.functions.names import token
 from hitlens.operators import align, hits, kmers, lineage, longform, metrics, retrieval
 from hitlens.plans import adapters as A
+from hitlens.plans import files
 from hitlens.schema import COUNTS, LEVELS, MATCH_LEVELS, SAME
 
 LOGS = [f"log10_{c}" for c in A.LOGGED]
@@ -67,9 +68,7 @@ def query_metadata(spark, sf):
     return A.query_metadata(spark, sf)
 
 
-def _tied(spark, sf):
-    """Scores rounded, so that both engines see the same ties."""
-    return rounded(A.clean(spark, sf), *A.LOGGED, "log10_jaccard")
+_tied = A.tied
 
 
 @query
@@ -377,3 +376,6 @@ def kmer_murmur_sketch(spark, sf):
 def sketch_md5_of_sets(spark, sf):
     sets = A.postings(spark, sf).groupBy("key").agg(F.collect_set("element").alias("mins"))
     return sets.select("key", sketch_md5(F.lit(24), F.col("mins")).alias("md5"))
+
+
+QUERIES |= files.QUERIES

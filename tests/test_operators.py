@@ -1,7 +1,9 @@
 """Edge cases of the operators on small hand-made tables."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -172,3 +174,22 @@ def test_auc_equals_rank_formula(spark, rows):
         assert out == [] or out[0].roc_auc is None
     else:
         assert out[0].roc_auc == pytest.approx(sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg)))
+
+
+def test_quantiles_and_running_sums(spark):
+    rng = random.Random(2)
+    rows = [(g, rng.choice([None, rng.random(), float(rng.randrange(5))])) for g in "ab" for _ in range(501)] + [("c", 2.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.low, r.mid) for r in metrics.quantiles(df, ["g"], "v", {"low": 0.1, "mid": 0.5}).collect()}
+    for g in "abc":
+        values = sorted(v for k, v in rows if k == g and v is not None)
+        assert got[g] == pytest.approx(tuple(np.quantile(values, [0.1, 0.5])))
+    assert set(got) == set("abc")
+    shares = longform.cumulative_share(df, ["g"], "v").filter("g = 'a'").orderBy("v").collect()
+    assert shares[-1].share == 1.0 and all(a.share < b.share for a, b in zip(shares, shares[1:]))
+
+
+def test_merged_kmers_get_suffixes(spark):
+    a = spark.createDataFrame([("x", "hp", 0)], "name string, encoded string, start int")
+    out = K.merge_kmers(a, a, ["encoded"])
+    assert out.columns == ["encoded", "name_x", "start_x", "name_y", "start_y"] and out.count() == 1

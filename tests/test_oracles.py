@@ -3,9 +3,11 @@
 import pytest
 from compare import connect, difference
 
-from hitlens.plans.oracles import ORACLES
+from hitlens.plans.file_oracles import ORACLES as FILE_ORACLES
+from hitlens.plans.oracles import ORACLES as BASE_ORACLES
 from hitlens.plans.queries import QUERIES
 
+ORACLES = BASE_ORACLES | FILE_ORACLES
 SF = "/root/testdata/sf0.001"
 
 
