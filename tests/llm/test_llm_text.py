@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import hitlens.llm.mixing as mixing
 import hitlens.llm.near_dup as near_dup
 import hitlens.llm.sentencepieces as sentencepieces
 import hitlens.llm.skew as skew
@@ -396,3 +397,68 @@ def test_mix_overlapping_sources(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source array<string>")
     out = mix(df, sources=F.col("source"))
     assert abs(out.agg(F.sum("taken")).first()[0] - 9000) <= 9000 and out.filter("taken > 3 * size").count() == 0
+
+
+def brute_flow(sizes, quotas, repeats):
+    """(words, cost) of the best flow from patterns a, b and ab to the quotas of a and b."""
+    def cost(taken, size):
+        return sum(r * r * min(max(taken - r * size, 0), size) for r in range(repeats))
+
+    best = (0, 0)
+    na, nb, both = (sizes.get(p, 0) for p in (("a",), ("b",), ("a", "b")))
+    for a in range(min(repeats * na, quotas["a"]) + 1):
+        for b in range(min(repeats * nb, quotas["b"]) + 1):
+            for x in range(min(repeats * both, quotas["a"] + quotas["b"] - a - b) + 1):
+                # of x words, as many as needed go to a
+                if x <= quotas["a"] - a + quotas["b"] - b:
+                    best = max(best, (a + b + x, -cost(a, na) - cost(b, nb) - cost(x, both)))
+    return best[0], -best[1]
+
+
+def test_flow_equals_brute_force():
+    rng = random.Random(8)
+    for _ in range(60):
+        sizes = {p: rng.randint(1, 5) for p in (("a",), ("b",), ("a", "b")) if rng.random() < 0.9}
+        quotas = {"a": rng.randint(0, 12), "b": rng.randint(0, 12)}
+        taken = route(sizes, quotas, 3)
+        cost = sum(sum(r * r * min(max(t - r * sizes[p], 0), sizes[p]) for r in range(3)) for p, t in taken.items())
+        assert (sum(taken.values()), cost) == brute_flow(sizes, quotas, 3)
+
+
+def test_mix_of_overlapping_sources_is_exact(spark):
+    rows = [(i, "w " * 10, ["a"] if i % 3 == 0 else ["b"] if i % 3 == 1 else ["b", "a"]) for i in range(900)]
+    df = spark.createDataFrame(rows + [(-1, "x y", []), (-2, "x", None)], "doc_id long, text string, source array<string>")
+    # 9000 words: 1500 for a, 7500 for b; b's own 3000 and the 3000 of both are repeated alike
+    out = mix(df, weights=(1.0, 5.0), sources=F.col("source")).collect()
+    of = Counter()
+    for r in out:
+        of["none" if r.doc_id < 0 else "a b both".split()[r.doc_id % 3]] += r.taken
+    assert of["none"] == 0 and of["a"] == 1500 and abs(of["b"] - 3750) <= 750 and of["b"] + of["both"] == 7500
+    assert {(r.source_size, r.target) for r in out if r.doc_id >= 0} == {(6000, 1500.0), (6000, 7500.0)}
+
+
+def test_mix_chooses_alike_at_every_size(spark, monkeypatch):
+    """The rule of the module's head, by plain Python, on a source above and one below the window."""
+    monkeypatch.setattr(mixing, "WINDOW", 8)
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.randint(1, 40), "big" if i < 600 else "small") for i in range(606)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mix(df, weights=(1.0, 30.0)).collect()}
+    hashes = {r.doc_id: r.h for r in df.select("doc_id", mixing._hash(mixing.SEED).alias("h")).collect()}
+    for source in ("big", "small"):
+        ids = sorted((i for i, _, s in rows if s == source), key=hashes.get)
+        size = {i: got[i].size for i in ids}
+        flow = round(got[ids[0]].target)
+        full = min(3, flow // sum(size.values()))
+        room, want, at = flow - full * sum(size.values()), dict.fromkeys(ids, full), 0
+        if full < 3:
+            while size[ids[at]] <= room:
+                want[ids[at]], room, at = full + 1, room - size[ids[at]], at + 1
+            tried = [ids[(at + s) % len(ids)] for s in range(8)]
+            for i in tried:
+                if size[i] <= room and want[i] < 3:
+                    want[i], room = want[i] + 1, room - size[i]
+            left = [i for i in tried if want[i] < 3]
+            if left and min(abs(size[i] - room) for i in left) < room:
+                want[min(left, key=lambda i: (abs(size[i] - room), hashes[i]))] += 1
+        assert {i: got[i].taken for i in ids} == {i: size[i] * n for i, n in want.items()}
