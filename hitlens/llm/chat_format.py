@@ -19,7 +19,9 @@ START, END = "<|im_start|>", "<|im_end|>"
 def turns_of(conversations: DataFrame) -> DataFrame:
     """(conv_id, turns): the turns (role, text) of each conversation in order of
     turn (nulls first), ties by role and text. A null role is "user", a null
-    text is empty; a null conv_id is a conversation of its own."""
+    text is empty; the rows without a conv_id are one conversation together. A
+    conversation is one array, so it has to fit a task's memory. An empty table
+    gives none."""
     turn = F.struct(F.col("turn").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("user")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     gathered = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     return gathered.withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
@@ -38,14 +40,17 @@ def _rendered(turns: Column) -> Column:
 def _spans(turns: Column) -> Column:
     """array<struct<start, end>>: where the assistant's texts and end marks are in
     the rendered turns, in characters, the end exclusive."""
-    lengths = F.transform(turns, lambda t: F.length(_shown(t)))
+    none = F.array().cast("array<struct<start:int,end:int>>")
 
-    def span(t, i):
-        before = F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, b: a + b)
+    def add(found, t):
+        shown = F.length(_shown(t))
         head = F.lit(len(START) + 1) + F.length(F.replace(t["role"], F.lit("<|"), F.lit("< |")))
-        return F.when(t["role"] == "assistant", F.struct((before + head).alias("start"), (before + F.length(_shown(t)) - 1).alias("end")))
+        span = F.struct((found["at"] + head).alias("start"), (found["at"] + shown - 1).alias("end"))
+        spans = F.when(t["role"] == "assistant", F.array_append(found["spans"], span)).otherwise(found["spans"])
+        return F.struct((found["at"] + shown).alias("at"), spans.alias("spans"))
 
-    return F.array_compact(F.transform(turns, span))
+    # one pass over the turns: the place is carried along
+    return F.aggregate(turns, F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda found: found["spans"])
 
 
 def common_prefix(a: Column, b: Column) -> Column:

@@ -25,7 +25,8 @@ URL_RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-#: The list of the URL filter: all known URLs of these sites.
+#: The list of the URL filter: all known URLs of these sites, and UNSEEN more that no page has.
+UNSEEN = 100_000
 LISTED_SITES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
 
 
@@ -54,9 +55,9 @@ def op5_near_duplicates(spark, sf_dir):
 def op6_token_counts(spark, sf_dir):
     folder = shared_path(spark, "tokens")
     # id 50256 is free in this vocabulary and closes documents
-    files = write_token_files(table(spark, sf_dir, "documents"), model_file("byte_bpe_50k.tiktoken"), word_pattern(), 50256, folder)
+    files, places = write_token_files(table(spark, sf_dir, "documents"), model_file("byte_bpe_50k.tiktoken"), word_pattern(), 50256, folder)
     lengths = document_lengths(files, folder, 50256)
-    return lengths.join(files.select("part", "file"), "file").select("part", "ordinal", "n_tokens", "closed")
+    return places.join(lengths, ["file", "ordinal"], "left").select("doc_id", "n_tokens", "closed")
 
 
 def op7_source_mixing(spark, sf_dir):
@@ -76,7 +77,9 @@ def op9_quality_rules(spark, sf_dir):
 def op10_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     listed = pages.filter(F.col("url").rlike(r"^[^:]*://([^/?#]*\.)?(" + "|".join(LISTED_SITES) + r")\."))
-    return judge_urls(pages, URL_RULES, listed)
+    site = F.get(F.array(*map(F.lit, LISTED_SITES)), F.pmod("id", F.lit(len(LISTED_SITES))).cast("int"))
+    unseen = spark.range(UNSEEN).select(F.concat(F.lit("http://"), site, F.lit(".invalid/unseen/"), F.col("id").cast("string")).alias("url"))
+    return judge_urls(pages, URL_RULES, listed.select("url").unionByName(unseen))
 
 
 QUERIES = {

@@ -25,19 +25,20 @@ from hitlens.llm.warc import _open
 BLOCK_TOKENS = 1 << 20
 
 
-def write_token_files(documents: DataFrame, ranks: bytes, pattern: str, end: int, folder: str) -> DataFrame:
+def write_token_files(documents: DataFrame, ranks: bytes, pattern: str, end: int, folder: str) -> tuple[DataFrame, DataFrame]:
     """Encode the texts of documents (doc_id, text) with the byte-level BPE of a
     rank file and write them to flat files of 16-bit ids in folder, a file for
-    each task, every text closed by `end`. A null text is empty: the end id alone.
+    each task, every text closed by `end`. A null text is empty: the end id
+    alone. Repeated rows and rows without an id are written each; an empty
+    table writes no file.
 
-    Result, staged: (part, file, tokens, n_docs) of the files written, part
-    being the number of the task's partition. Files of lost
-    attempts have other names and are not in it.
+    Result, staged: files (file, tokens) and places (file, ordinal, doc_id), a
+    row for each document in its file's order. Files of lost attempts have
+    other names and are in neither.
     """
 
     def run(batches):
         import tiktoken
-        from pyspark import TaskContext
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
         if max(*table.values(), end) > 0xFFFF:
@@ -46,22 +47,28 @@ def write_token_files(documents: DataFrame, ranks: bytes, pattern: str, end: int
         files, folder_at = _open(folder)
         files.create_dir(folder_at, recursive=True)
         name, out, tokens, docs = f"{uuid.uuid4().hex}.tok", None, 0, 0
+
+        def rows(ordinals, doc_ids, total):
+            columns = pa.array([name] * len(ordinals), pa.string()), pa.array(ordinals, pa.int64()), doc_ids, pa.array([total] * len(ordinals), pa.int64())
+            return pa.RecordBatch.from_arrays(list(columns), names=["file", "ordinal", "doc_id", "tokens"])
+
         for batch in sliced(batches):
-            parts = []
-            for text in batch.column(0).to_pylist():
-                parts.append(np.array([*encode(text or ""), end], "<u2"))
-            if parts:
-                if out is None:
-                    out = files.open_output_stream(f"{folder_at}/{name}", compression=None)
-                joined = np.concatenate(parts)
-                out.write(joined.tobytes())
-                tokens, docs = tokens + len(joined), docs + len(parts)
+            if out is None:
+                out = files.open_output_stream(f"{folder_at}/{name}", compression=None)
+            for text in batch.column(1).to_pylist():
+                ids = np.array([*encode(text or ""), end], "<u2")
+                out.write(ids.tobytes())
+                tokens += len(ids)
+            yield rows(range(docs, docs + batch.num_rows), batch.column(0), None)
+            docs += batch.num_rows
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([name]), pa.array([tokens]), pa.array([docs])], names=["part", "file", "tokens", "n_docs"])
+            # the file itself, once it is whole
+            yield rows([-1], pa.array([None], pa.int64()), tokens)
 
-    texts = documents.select(F.col("text").cast("string"))
-    return stage(texts.mapInArrow(run, "part long, file string, tokens long, n_docs long"), "files")
+    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    written = stage(texts.mapInArrow(run, "file string, ordinal long, doc_id long, tokens long"), "files")
+    return written.filter("ordinal < 0").select("file", "tokens"), written.filter("ordinal >= 0").select("file", "ordinal", "doc_id")
 
 
 def scan_blocks(files: DataFrame, folder: str, end: int, width: int = 2, block: int = BLOCK_TOKENS) -> DataFrame:

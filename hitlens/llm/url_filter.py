@@ -1,7 +1,7 @@
 """URL filters: longest host/path rule, then a blocked Bloom filter before an exact join.
 
 DataFrame functions only. The list of canonical URLs is folded into a blocked
-Bloom filter of bounded size, which therefore may be broadcast. Pages that miss the filter are certainly not listed and never leave their task; possible
+Bloom filter, which is broadcast up to a fixed size. Pages that miss the filter are certainly not listed and never leave their task; possible
 hits go to an exact hash join with the list, which removes false positives.
 """
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitlens.llm.blocked_bloom import with_maybe
+from hitlens.llm.common import stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TEMP = "__url_"
@@ -52,8 +53,9 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 def listed_rows(rows: DataFrame, listed: DataFrame) -> DataFrame:
     """rows with a boolean column TEMP + "listed": whether their TEMP + "key" is in listed (key)."""
-    listed = listed.filter("key <> ''").select("key").distinct()
-    probed = with_maybe(rows, f"{TEMP}key", listed, f"{TEMP}maybe")
+    listed = stage(listed.filter("key <> ''").select("key").distinct(), "listed")
+    # staged: URLs are parsed and probed once, not once for each of the two ways below
+    probed = stage(with_maybe(rows, f"{TEMP}key", listed, f"{TEMP}maybe"), "probed")
     exact = listed.select(F.col("key").alias(f"{TEMP}key"), F.lit(True).alias(f"{TEMP}listed"))
     possible = probed.filter(f"{TEMP}maybe").join(exact, f"{TEMP}key", "left").withColumn(f"{TEMP}listed", F.coalesce(f"{TEMP}listed", F.lit(False)))
     missed = probed.filter(f"NOT {TEMP}maybe").withColumn(f"{TEMP}listed", F.lit(False))

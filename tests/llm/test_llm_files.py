@@ -17,8 +17,9 @@ from hitlens.llm.chat_format import preference_pairs, span_text, turns_of, weake
 from hitlens.llm.common import shared_path  # noqa: E402
 from hitlens.llm.oracles import ORACLES  # noqa: E402
 from hitlens.llm.queries import QUERIES, URL_RULES  # noqa: E402
-from hitlens.llm.token_scan import document_lengths  # noqa: E402
+from hitlens.llm.token_scan import document_lengths, write_token_files  # noqa: E402
 from hitlens.llm.tokenizers import model_file, word_pattern  # noqa: E402
+import hitlens.llm.blocked_bloom as blocked_bloom
 import hitlens.llm.topk_search as topk_search
 from hitlens.llm.topk_search import top_k  # noqa: E402
 from hitlens.llm.url_filter import judge_urls  # noqa: E402
@@ -127,6 +128,49 @@ def test_search_equals_scoring_everything(spark):
             assert got[q, rank][1] == pytest.approx(-s, abs=2e-6)
 
 
+def test_token_counts_by_document(spark, tmp_path):
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, model_file("byte_bpe_50k.tiktoken").splitlines()) if a}
+    encode = tiktoken.Encoding("t", pat_str=word_pattern(), mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    rows = [(1, "one two"), (1, "one two"), (2, None), (3, ""), (None, "x" * 3000), (5, "wort " * 9000), (6, "\n\n \t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"file": F.lit(1), "ordinal": F.lit("x")})
+
+    def counted(docs, name):
+        folder = f"file://{tmp_path}/{name}"
+        files, places = write_token_files(docs, model_file("byte_bpe_50k.tiktoken"), word_pattern(), 50256, folder)
+        return Counter((r.doc_id, r.n_tokens, r.closed) for r in places.join(document_lengths(files, folder, 50256, block=1000), ["file", "ordinal"], "left").collect())
+
+    want = Counter((i, len(encode(t or "")) + 1, True) for i, t in rows)
+    assert counted(df.repartition(1), "a") == want == counted(df.repartition(3), "b")
+    assert not counted(df.limit(0), "c")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = Counter((r.doc_id, len(encode(r.text or "")) + 1) for r in docs.collect())
+    assert Counter((r.doc_id, r.n_tokens) for r in QUERIES["op6_token_counts"](spark, "/root/testdata/sf0.001").collect()) == want
+
+
+def test_spans_of_long_conversations(spark):
+    turns = [("user" if i % 2 else "assistant", f"text {i} <|") for i in range(2000)]
+    pairs = spark.createDataFrame([(1, turns, turns[:-1]), (2, None, [])], "pair_id long, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>")
+    out = {r.pair_id: r for r in preference_pairs(pairs.withColumn("rejected", F.when(F.col("pair_id") == 1, F.array(F.struct(F.lit("user").alias("role"), F.lit("other").alias("text")))).otherwise(F.col("rejected")))).collect()}
+    one = out[1]
+    assert one.n_common == 0 and len(one.chosen_spans) == 1000
+    assert all(one.chosen[s.start : s.end] == f"text {2 * i} < |<|im_end|>" for i, s in enumerate(one.chosen_spans))
+    assert out[2].chosen == "" and out[2].chosen_spans == [] and not out[2].differs
+
+
+def test_filter_false_positives_and_long_urls(spark, monkeypatch):
+    # one block for all keys: nearly every URL passes the filter, and the exact join decides
+    monkeypatch.setattr(blocked_bloom, "blocks_for", lambda n: 1)
+    long = "http://site.org/" + "a/" * 50_000
+    pages = spark.createDataFrame([(i, f"http://site{i}.org/p") for i in range(300)] + [(300, long), (301, long + "b")], "page_id long, url string")
+    listed = spark.createDataFrame([(f"http://site{i}.org/p",) for i in range(0, 600, 2)] + [(long,)], "url string")
+    out = {r.page_id: r.listed for r in judge_urls(pages, [], listed).collect()}
+    assert out == {i: i % 2 == 0 for i in range(300)} | {300: True, 301: False}
+
+
 @pytest.mark.parametrize("sizes", [(1 << 23, 64), (900, 4)])
 def test_search_ranks_and_rows(spark, monkeypatch, sizes):
     # with small shards and blocks most blocks are never opened
