@@ -7,8 +7,11 @@ frequencies, the number of documents and their mean length are global, so
 scores of different shards compare.
 
 Search: a task holds a few shards, one after the other, and a few files of
-queries. This is a two-step block-bound filter in place of block-max WAND: for
-a query the block maxima add up to a bound for every block; the two blocks of
+queries. Queries are whole texts, so most of their postings belong to a few
+frequent terms: those are scored exactly for all documents of the shard, many
+queries at once, by one matrix product. For the other terms this is a two-step
+block-bound filter in place of block-max WAND: for a query the block maxima,
+added to the best frequent score, make a bound for every block; the two blocks of
 the best bounds are scored and set the threshold once, and then all other
 blocks are scored but those whose bound is below it, which are never opened.
 The threshold is carried on to the next shard of the task. (Opening blocks in
@@ -39,7 +42,12 @@ K1, B = 1.2, 0.75
 #: Scores are rounded to so many digits before they are compared.
 DIGITS = 6
 #: Queries in a file, and the files and the shards that are one piece of work.
-QUERY_FILE, FILES, SHARDS = 256, 4, 8
+QUERY_FILE, FILES, SHARDS = 256, 16, 4
+#: A term of at least 1 / OFTEN of a shard's documents is frequent. (All rows of
+#: frequent terms take at most OFTEN * 8 bytes for each posting of the shard.)
+OFTEN = 16
+#: Queries whose frequent terms are scored together.
+TOGETHER = 64
 
 
 def invert(words: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
@@ -180,30 +188,52 @@ class Shard:
         self.entries = np.searchsorted(at, self.starts)
         self.blocks = (len(self.ids) + BLOCK - 1) // BLOCK
 
-    def best(self, query_id: int, terms: np.ndarray, weight: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """doc_ids and rounded scores of the k best documents (query_id itself
-        left out) with a score of at least floor."""
-        none = np.zeros(0, np.int64), np.zeros(0)
-        if not len(self.terms):
-            return none
-        t = np.searchsorted(self.terms, terms)
-        good = self.terms[np.minimum(t, len(self.terms) - 1)] == terms
-        t, weight = t[good], weight[good]
-        if not len(t):
-            return none
+        # terms of a large part of the shard's documents, as rows over all of them
+        often = np.flatnonzero(np.diff(self.starts) * OFTEN >= len(self.ids))
+        self.row = np.full(len(self.terms), -1)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), len(self.ids)))
+        for i, t in enumerate(often.tolist()):
+            part = slice(self.starts[t], self.starts[t + 1])
+            self.dense[i, self.docs[part]] = self.impact[part]
+
+    def best(self, queries: dict[str, np.ndarray], k: int, floors: list[float]):
+        """For each of queries (ids, offsets, terms, weight): doc_ids and rounded
+        scores of the k best documents (the query itself left out) with a score
+        of at least its floor."""
+        ids, offsets = queries["ids"].tolist(), queries["offsets"].tolist()
+        for at in range(0, len(ids), TOGETHER):
+            which = range(at, min(at + TOGETHER, len(ids)))
+            rare, weights = [], np.zeros((len(which), len(self.dense)))
+            for i in which:
+                terms, weight = (queries[c][offsets[i] : offsets[i + 1]] for c in ("terms", "weight"))
+                t = np.searchsorted(self.terms, terms)
+                good = self.terms[np.minimum(t, len(self.terms) - 1)] == terms if len(self.terms) else np.zeros(len(terms), bool)
+                t, weight = t[good], weight[good]
+                row = self.row[t]
+                weights[i - at, row[row >= 0]] = weight[row >= 0]
+                rare.append((t[row < 0], weight[row < 0]))
+            base = weights @ self.dense
+            for i in which:
+                yield self._best(ids[i], *rare[i - at], base[i - at], k, floors[i])
+
+    def _best(self, query_id: int, t: np.ndarray, weight: np.ndarray, base: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """base: the scores of the frequent terms; t and weight: the other terms."""
         lo, hi = self.entries[t], self.entries[t + 1]
         e = _ranges(lo, hi)
         w = np.repeat(weight, hi - lo)
         block = self.block[e]
-        bound = np.bincount(block, w * self.most[e], minlength=self.blocks)
+        bound = np.bincount(block, w * self.most[e], minlength=self.blocks) + np.maximum.reduceat(base, np.arange(0, len(base), BLOCK))
         slack = 10.0**-DIGITS
-        scores = np.zeros(len(self.ids))
+        scores = np.zeros(len(base))
 
         def open_blocks(chosen: np.ndarray) -> None:
             inside = chosen[block]
             at, weights = e[inside], w[inside]
             starts, ends = self.entry[at], self.entry[at + 1]
             p = _ranges(starts, ends)
+            mine = np.repeat(chosen, BLOCK)[: len(base)]
+            scores[mine] = base[mine]
             # in order of the query's terms: equal texts get equal sums
             scores[:] += np.bincount(self.docs[p], np.repeat(weights, ends - starts) * self.impact[p], minlength=len(scores))
 
@@ -279,12 +309,10 @@ def top_k(documents: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 for name in names:
                     shard = Shard(_load(files, f"{folder_at}/{name}"), mean)
                     for a, q in enumerate(asked):
-                        for i, query_id in enumerate(q["ids"].tolist()):
-                            before = held.get((a, i))
-                            floor = float(before[1][-1]) if before is not None and len(before[1]) == k else 0.0
-                            part = slice(q["offsets"][i], q["offsets"][i + 1])
-                            found = shard.best(query_id, q["terms"][part], q["weight"][part], k, floor)
-                            held[a, i] = found if before is None else _merge(before, *found, k)
+                        before = [held.get((a, i)) for i in range(len(q["ids"]))]
+                        floors = [float(b[1][-1]) if b is not None and len(b[1]) == k else 0.0 for b in before]
+                        for i, found in enumerate(shard.best(q, k, floors)):
+                            held[a, i] = found if before[i] is None else _merge(before[i], *found, k)
                 for (a, i), (ids, scores) in held.items():
                     if len(ids):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), asked[a]["ids"][i])), pa.array(ids), pa.array(scores)], names=["query_id", "doc_id", "score"])
