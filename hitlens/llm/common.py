@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -63,13 +65,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sliced(batches: Iterable[pa.RecordBatch], rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 500, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut, without copying, to at most `rows` rows and about `size`
-    bytes (one row may be larger); empty batches are left out."""
+    bytes (one row may be larger); empty batches are left out. At the end the
+    worker, which Spark uses again, gives free memory back."""
     for batch in batches:
         step = rows if batch.nbytes <= size else max(1, min(rows, batch.num_rows * size // batch.nbytes))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    give_back()
+
+
+def give_back() -> None:
+    """Returns what the process has freed to the system, as far as that is possible."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:
+        trim(0)
 
 
 def fresh(df: DataFrame, name: str) -> str:
