@@ -6,18 +6,19 @@ cut at blocks of BLOCK documents whose largest impact is stored. Document
 frequencies, the number of documents and their mean length are global, so
 scores of different shards compare.
 
+Documents of a shard are ordered by the least hashes of their
+words, so that like texts share blocks and block maxima are near true scores.
+
 Search: a task holds a few shards, one after the other, and a few files of
 queries. Queries are whole texts, so most of their postings belong to a few
 frequent terms: those are scored exactly for all documents of the shard, many
-queries at once, by one matrix product. For the other terms this is a two-step
-block-bound filter in place of block-max WAND: for a query the block maxima,
-added to the best frequent score, make a bound for every block; the two blocks of
-the best bounds are scored and set the threshold once, and then all other
-blocks are scored but those whose bound is below it, which are never opened.
-The threshold is carried on to the next shard of the task. (Opening blocks in
-steps with a threshold that rises after each step was tried: it costs more than
-it prunes, see README.) Shards' lists merge exactly: ties are broken by doc_id
-everywhere.
+queries at once, by one matrix product. The other terms are pruned by blocks as
+in block-max WAND, but a block at a time in place of its document-at-a-time
+pivots: the block maxima, added to the best frequent score, make a bound for every
+block; blocks are opened in steps in order of their bounds, the threshold rises
+after each step, and blocks whose bound is below it are never opened. The
+threshold is carried on to the next shard of the task. Shards' lists merge
+exactly: ties are broken by doc_id everywhere.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql.window import Window
 
 from hitlens.llm.blocked_bloom import only_listed
 from hitlens.llm.common import shared_path, sliced, stage
-from hitlens.llm.textkit import utf8, word_hashes
+from hitlens.llm.textkit import mix, utf8, word_hashes
 from hitlens.llm.warc import _open
 
 SHARD_WORDS = 1 << 23
@@ -48,11 +49,26 @@ QUERY_FILE, FILES, SHARDS = 256, 16, 4
 OFTEN = 16
 #: Queries whose frequent terms are scored together.
 TOGETHER = 64
+#: Blocks opened in the first steps; the last step opens all others above the threshold.
+STEPS = (2, 8, 32)
+
+
+def _least_term(hashes: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
+    """For each of n documents the least of its postings' hashes."""
+    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, docs, hashes)
+    return least
 
 
 def invert(words: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """Postings of texts given by their words' hashes: terms (sorted), starts,
-    docs and tf by posting, and the texts' lengths."""
+    docs and tf by posting, the texts' lengths, and order: the given place of
+    each document.
+
+    Documents are renumbered so that like ones share blocks, by the least hash of
+    their frequent terms, then of all their terms. Block maxima are then close to
+    the scores of the documents inside; results do not depend on the order.
+    """
     owner = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint32), np.diff(offsets))
     order = np.argsort(words, kind="stable")
     w, d = words[order], owner[order]
@@ -63,8 +79,16 @@ def invert(words: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     w, d = w[at], d[at]
     first = np.ones(len(w), bool)
     first[1:] = w[1:] != w[:-1]
-    starts = np.flatnonzero(first)
-    return {"terms": w[starts], "starts": np.append(starts, len(w)), "docs": d, "tf": tf, "lens": np.diff(offsets).astype(np.int64)}
+    starts = np.append(np.flatnonzero(first), len(w))
+    terms, size, n = w[starts[:-1]], np.diff(starts), len(offsets) - 1
+    hashes, often = mix(w), np.repeat(size * OFTEN >= n, size)
+    order = np.lexsort((_least_term(hashes, d, n), _least_term(hashes[often], d[often], n)))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    d = place[d]
+    by = np.argsort(np.repeat(np.arange(len(terms)) * n, size) + d)
+    lens = np.diff(offsets).astype(np.int64)
+    return {"terms": terms, "starts": starts, "docs": d[by].astype(np.uint32), "tf": tf[by], "lens": lens[order], "order": order}
 
 
 def _save(files, path: str, arrays: dict[str, np.ndarray]) -> None:
@@ -93,7 +117,8 @@ def build_index(documents: DataFrame, folder: str) -> DataFrame:
             nonlocal ids, words, counts, held
             name = f"{uuid.uuid4().hex}.npz"
             offsets = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
-            arrays = invert(np.concatenate(words), offsets) | {"ids": np.concatenate(ids)}
+            arrays = invert(np.concatenate(words), offsets)
+            arrays["ids"] = np.concatenate(ids)[arrays.pop("order")]
             _save(files, f"{folder_at}/{name}", arrays)
             out = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(offsets) - 1]), pa.array([int(offsets[-1])])], names=["file", "n_docs", "n_words"])
             ids, words, counts, held = [], [], [], 0
@@ -185,6 +210,7 @@ class Shard:
         at = np.flatnonzero(cut)
         self.block, self.entry = block[at].astype(np.int64), np.append(at, len(block))
         self.most = np.maximum.reduceat(self.impact, at) if len(at) else np.zeros(0)
+        self.sizes = np.diff(self.entry)
         self.entries = np.searchsorted(at, self.starts)
         self.blocks = (len(self.ids) + BLOCK - 1) // BLOCK
 
@@ -192,10 +218,13 @@ class Shard:
         often = np.flatnonzero(np.diff(self.starts) * OFTEN >= len(self.ids))
         self.row = np.full(len(self.terms), -1)
         self.row[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), len(self.ids)))
+        self.dense = np.zeros((len(often), self.blocks * BLOCK))
         for i, t in enumerate(often.tolist()):
             part = slice(self.starts[t], self.starts[t + 1])
             self.dense[i, self.docs[part]] = self.impact[part]
+        # by block; the places after the last document have no score
+        self.inside = self.docs % BLOCK
+        self.ids = np.append(self.ids, np.zeros(self.blocks * BLOCK - len(self.ids), np.int64)).reshape(-1, BLOCK)
 
     def best(self, queries: dict[str, np.ndarray], k: int, floors: list[float]):
         """For each of queries (ids, offsets, terms, weight): doc_ids and rounded
@@ -213,49 +242,47 @@ class Shard:
                 row = self.row[t]
                 weights[i - at, row[row >= 0]] = weight[row >= 0]
                 rare.append((t[row < 0], weight[row < 0]))
-            base = weights @ self.dense
+            base = (weights @ self.dense).reshape(len(which), self.blocks, BLOCK)
+            most = base.max(2)
             for i in which:
-                yield self._best(ids[i], *rare[i - at], base[i - at], k, floors[i])
+                yield self._best(ids[i], *rare[i - at], base[i - at], most[i - at], k, floors[i])
 
-    def _best(self, query_id: int, t: np.ndarray, weight: np.ndarray, base: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """base: the scores of the frequent terms; t and weight: the other terms."""
+    def _best(self, query_id: int, t: np.ndarray, weight: np.ndarray, base: np.ndarray, most: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """base and most: the scores of the frequent terms by block and document,
+        and their maxima by block; t and weight: the other terms."""
         lo, hi = self.entries[t], self.entries[t + 1]
         e = _ranges(lo, hi)
         w = np.repeat(weight, hi - lo)
         block = self.block[e]
-        bound = np.bincount(block, w * self.most[e], minlength=self.blocks) + np.maximum.reduceat(base, np.arange(0, len(base), BLOCK))
+        bound = np.bincount(block, w * self.most[e], minlength=self.blocks) + most
         slack = 10.0**-DIGITS
-        scores = np.zeros(len(base))
-
-        def open_blocks(chosen: np.ndarray) -> None:
-            inside = chosen[block]
-            at, weights = e[inside], w[inside]
-            starts, ends = self.entry[at], self.entry[at + 1]
-            p = _ranges(starts, ends)
-            mine = np.repeat(chosen, BLOCK)[: len(base)]
-            scores[mine] = base[mine]
+        best = np.argsort(-bound)
+        ids, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for size in (*STEPS, self.blocks):
+            left = np.searchsorted(-bound[best], -max(floor - 2 * slack, 1e-12), side="right")
+            chosen, best = best[: min(size, left)], best[min(size, left) : left]
+            if not len(chosen):
+                break
+            slot = np.full(self.blocks, -1)
+            slot[chosen] = np.arange(len(chosen)) * BLOCK
+            at = slot[block]
+            opened = np.flatnonzero(at >= 0)
+            starts, size = self.entry[e[opened]], self.sizes[e[opened]]
+            p = _ranges(starts, starts + size)
             # in order of the query's terms: equal texts get equal sums
-            scores[:] += np.bincount(self.docs[p], np.repeat(weights, ends - starts) * self.impact[p], minlength=len(scores))
-
-        first = np.zeros(self.blocks, bool)
-        top = np.argpartition(-bound, min(2, self.blocks - 1))[:2]
-        first[top] = True
-        first &= bound >= max(floor - slack, 1e-12)
-        if first.any():
-            open_blocks(first)
-        own = self.ids == query_id
-        scores[own] = 0
-        if len(scores) > k:
-            floor = max(floor, np.partition(scores, len(scores) - k)[len(scores) - k])
-        rest = ~first & (bound >= max(floor - slack, 1e-12))
-        if rest.any():
-            open_blocks(rest)
-            scores[own] = 0
-        rounded = np.round(scores, DIGITS)
-        least = max(round(floor - slack, DIGITS), slack)
-        found = np.flatnonzero(rounded >= least)
-        found = found[np.lexsort((self.ids[found], -rounded[found]))[:k]]
-        return self.ids[found], rounded[found]
+            sums = np.bincount(np.repeat(at[opened], size) + self.inside[p], np.repeat(w[opened], size) * self.impact[p], minlength=len(chosen) * BLOCK) + base[chosen].ravel()
+            mine = self.ids[chosen].ravel()
+            sums[mine == query_id] = 0
+            good = np.flatnonzero(sums >= max(floor - 2 * slack, 1e-12))
+            ids.append(mine[good])
+            scores.append(sums[good])
+            so_far = np.concatenate(scores)
+            if len(so_far) >= k:
+                floor = max(floor, np.partition(so_far, len(so_far) - k)[len(so_far) - k])
+        ids, rounded = np.concatenate(ids), np.round(np.concatenate(scores), DIGITS)
+        found = np.flatnonzero(rounded >= max(round(floor - slack, DIGITS), slack))
+        found = found[np.lexsort((ids[found], -rounded[found]))[:k]]
+        return ids[found], rounded[found]
 
 
 def _lists(named: DataFrame, size: int, name: str) -> DataFrame:
