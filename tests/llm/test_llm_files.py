@@ -6,6 +6,7 @@ import sys
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from hitlens.llm.chat_format import preference_pairs, span_text, turns_of, weake
 from hitlens.llm.common import shared_path  # noqa: E402
 from hitlens.llm.oracles import ORACLES  # noqa: E402
 from hitlens.llm.queries import QUERIES, URL_RULES  # noqa: E402
+from hitlens.llm.textkit import utf8, word_hashes  # noqa: E402
 from hitlens.llm.token_scan import document_lengths, write_token_files  # noqa: E402
 from hitlens.llm.tokenizers import model_file, word_pattern  # noqa: E402
 import hitlens.llm.blocked_bloom as blocked_bloom
@@ -197,6 +199,59 @@ def test_search_ranks_and_rows(spark, monkeypatch, sizes):
     assert len(got) == len(want) and len(set(got) ^ set(want)) <= 2
 
 
+def _shard(rows):
+    words, offsets = word_hashes(*utf8(pa.array([t for _, t in rows], pa.string())))
+    arrays = topk_search.invert(words, offsets)
+    assert sorted(arrays["order"].tolist()) == list(range(len(rows)))
+    arrays["ids"] = np.array([i for i, _ in rows])[arrays.pop("order")]
+    return topk_search.Shard(arrays, len(words) / len(rows))
+
+
+@pytest.mark.parametrize("block, steps", [(64, (2, 8, 32)), (4, (1,)), (4, (2, 8, 32)), (7, ())])
+def test_shard_prunes_whole_blocks_only(monkeypatch, block, steps):
+    """Groups of like documents: the best of any steps equal the scores of all
+    documents, above a floor too, for every query id, repeated and tied ones included."""
+    monkeypatch.setattr(topk_search, "BLOCK", block)
+    monkeypatch.setattr(topk_search, "STEPS", steps)
+    rng = random.Random(9)
+    rows = []
+    for g in range(12):
+        own = [f"g{g}w{j}" for j in range(30)]
+        for _ in range(25):
+            rows.append((len(rows), " ".join(rng.choices(own, k=12) + rng.choices(["the", "of", "and", "to"], k=6))))
+    rows += [(len(rows) + j, rows[3][1]) for j in range(15)] + [(5, rows[40][1]), (5, ""), (900, None)]
+    rng.shuffle(rows)
+    shard = _shard(rows)
+    counts = [Counter((t or "").split()) for _, t in rows]
+    mean = sum(sum(c.values()) for c in counts) / len(rows)
+    for q, text in rows[::9]:
+        terms = Counter((text or "").split())
+        hashes = dict(zip(terms, word_hashes(*utf8(pa.array(list(terms), pa.string())))[0]))
+        ordered = sorted(terms, key=hashes.get)
+        query = {"ids": np.array([q]), "offsets": np.array([0, len(terms)]), "terms": np.array([hashes[w] for w in ordered], np.uint64), "weight": np.array([1.5 * terms[w] for w in ordered])}
+        scores = []
+        for (d, _), c in zip(rows, counts):
+            size = sum(c.values())
+            s = sum(1.5 * n * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * size / mean)) for w, n in terms.items() if w in c)
+            if d != q and s > 0:
+                scores.append((-round(s, 6), d))
+        want = sorted(scores)[:10]
+        for floor in (0.0, -want[-1][0] if want else 0.0):
+            ((ids, found),) = shard.best(query, 10, [floor])
+            assert [d for _, d in want] == ids.tolist()
+            assert np.allclose([-s for s, _ in want], found, atol=2e-6)
+
+
+def test_like_documents_share_blocks():
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices([f"g{i % 10}w{j}" for j in range(20)], k=30))) for i in range(640)]
+    shard = _shard(rows)
+    # the given order has all ten groups in every block; a text lacks its group's
+    # least term with a chance of 0.21, so a group is a few runs and not one
+    groups = [len({int(i) % 10 for i in block}) for block in shard.ids]
+    assert len(groups) == 10 and sum(groups) < 50
+
+
 def test_urls(spark):
     rows = [
         (1, "http://WWW.Example.com/en/x"),
