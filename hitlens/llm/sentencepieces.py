@@ -29,12 +29,12 @@ from hitlens.llm.common import sliced
 SPACE = "▁"
 #: Segments go in step with those of about their length; longer ones have a heap.
 WIDTHS = (0, 1, 4, 6, 8, 10, 12, 16, 24, 48)
-#: Bytes of cached segments (as _cost counts them) before the cache is emptied.
+#: Bytes of cached segments (as _cost counts them); half of them may be in recent use.
 CACHE_BYTES = 24 << 20
 #: Characters of texts, or segments of one longer text, that are split at a time.
 GROUP, RUN = 1 << 20, 200_000
-#: Rows of segments that are merged in step at a time.
-ROWS = 4096
+#: Rows of segments that are merged in step at a time, and new segments encoded at a time.
+ROWS, NEW = 4096, 1 << 15
 #: The symbol of a character that is no piece is OTHER and its code point.
 OTHER = 1 << 21
 NEVER = np.int32(2**31 - 1)
@@ -229,7 +229,9 @@ def encoder(model: bytes, check: bool = True):
     there are and however long one is.
     """
     vocabulary = Vocabulary(model)
+    # used since the last turn, and before it: a turn drops what was not used again
     cache: dict[str, bytes] = {}
+    older: dict[str, bytes] = {}
     cached = 0
 
     def compare(segments: list[str], ids: list[list[int]]) -> None:
@@ -252,16 +254,22 @@ def encoder(model: bytes, check: bool = True):
             raise AssertionError(f"the sentencepiece library encodes otherwise: {segments[:3]!r}")
 
     def of_segments(split: list[list[str]]) -> list[bytes]:
-        nonlocal cached
-        if cached > CACHE_BYTES:
-            cache.clear()
-            cached = 0
-        new = list(set(chain.from_iterable(split)) - cache.keys())
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
+        nonlocal cache, older, cached
+        if cached > CACHE_BYTES // 2:
+            cache, older, cached = {}, cache, 0
+        new = []
+        for s in set(chain.from_iterable(split)) - cache.keys():
+            if s in older:
+                cache[s] = packed = older.pop(s)
+                cached += _cost(s, packed)
+            else:
+                new.append(s)
+        for at in range(0, len(new), NEW):
+            part = new[at : at + NEW]
             ids = vocabulary.encode_segments([s.replace(" ", SPACE) for s in part])
             if check:
-                compare(part, ids)
+                for i in range(0, len(part), 2000):
+                    compare(part[i : i + 2000], ids[i : i + 2000])
             for s, i in zip(part, ids):
                 cache[s] = packed = np.array(i, np.int32).tobytes()
                 cached += _cost(s, packed)
