@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType
 
+from hitlens.functions.names import level, token
 from hitlens.functions.numeric import ieee_log10, reciprocal
-from hitlens.schema import LEVELS
+from hitlens.schema import COUNTS, LEVELS
 
 
 def drop_spurious(hits: DataFrame, least: int = 2) -> DataFrame:
@@ -26,6 +27,19 @@ def annotate(hits: DataFrame, query_metadata: DataFrame, match_metadata: DataFra
     return hits.join(query_metadata, "query_name", how).join(match_metadata, "match_name", how)
 
 
+def annotate_by_name(hits: DataFrame, labels: DataFrame) -> DataFrame:
+    """annotate for names that carry their lineage: a hit's own row has its ids
+    and families, and labels (lineage.label_table) the rest, so hits do not move.
+    Labels are few; a staged table of them is broadcast by Spark."""
+    out = hits.filter("query_name IS NOT NULL AND match_name IS NOT NULL")
+    for side in ("query", "match"):
+        name = F.col(f"{side}_name")
+        out = out.withColumns({f"{side}_scop_id": token(name, 0), "own": level(name, "family")})
+        of = labels.select(*(F.col(v).alias(f"{side}_{v}") for v in LEVELS), *(COUNTS if side == "query" else []))
+        out = out.join(of, F.col("own").eqNullSafe(F.col(f"{side}_family")), "left").drop("own")
+    return out
+
+
 def with_same(hits: DataFrame, columns: list[str] = LEVELS, null_is_false: bool = False) -> DataFrame:
     """same_{c} = (query_{c} = match_{c}); with null_is_false a NULL side is a difference."""
     flags = {f"same_{c}": F.col(f"query_{c}") == F.col(f"match_{c}") for c in columns}
@@ -48,8 +62,9 @@ def clean_hits(hits: DataFrame, query_metadata: DataFrame, match_metadata: DataF
     return tagged(with_log10(with_same(out, null_is_false=how == "left"), logged), moltype=moltype, ksize=ksize)
 
 
-def zero_self_scores(hits: DataFrame, scores: list[str]) -> DataFrame:
-    return hits.withColumns({c: F.when(F.col("query_md5") == F.col("match_md5"), 0.0).otherwise(F.col(c).cast("double")) for c in scores})
+def zero_self_scores(hits: DataFrame, scores: list[str], sides: tuple[str, str] = ("query_md5", "match_md5")) -> DataFrame:
+    """Scores of a sequence with itself become 0; sides: the columns that tell sequences apart."""
+    return hits.withColumns({c: F.when(F.col(sides[0]) == F.col(sides[1]), 0.0).otherwise(F.col(c).cast("double")) for c in scores})
 
 
 def with_reciprocal(hits: DataFrame, column: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from hitlens.functions.alphabets import canonical, encode, kmers
 from hitlens.functions.murmur import hashval, sketch_md5, unsigned
+from hitlens.operators import overlaps
 
 
 def kmer_rows(sequences: DataFrame, k: Column | int, alphabet: str | None = None, name: str = "name", sequence: str = "sequence", keep: list[str] | None = None) -> DataFrame:
@@ -84,14 +85,14 @@ def sketches(posts: DataFrame, k: int) -> DataFrame:
     return out.select("name", "mins", F.size("mins").alias("n"), sketch_md5(F.lit(3 * k), F.col("mins")).alias("md5"))
 
 
-def compare_sets(posts: DataFrame, key: str = "name", element: str = "hashval") -> DataFrame:
-    """All pairs of sets that share an element: query, match, n_query, n_match,
-    common, only_query, only_match, union, containment (of the query),
-    max_containment, jaccard. A pair of a set with itself included."""
-    sizes = posts.groupBy(key).agg(F.count("*").alias("n"))
-    a, b = posts.select(F.col(key).alias("query"), element), posts.select(F.col(key).alias("match"), element)
-    shared = a.join(b, element).groupBy("query", "match").agg(F.count("*").alias("common"))
-    rows = shared.join(sizes.toDF("query", "n_query"), "query").join(sizes.toDF("match", "n_match"), "match")
+def compare_sets(posts: DataFrame, key: str = "name", element: str = "hashval", least: int = 1) -> DataFrame:
+    """All pairs of sets that share at least `least` elements: query, match,
+    n_query, n_match, common, only_query, only_match, union, containment (of the
+    query), max_containment, jaccard. A pair of a set with itself included.
+    Repeated rows of posts count once. The postings are written at the call."""
+    at = overlaps.store(posts.select(key, element))
+    kind = posts.schema[key].dataType
+    rows = overlaps.pairs(posts.sparkSession, at, least, not at.plain).withColumns({c: F.col(c).cast(kind) for c in ("query", "match")})
     union = F.col("n_query") + F.col("n_match") - F.col("common")
     return rows.select(
         "query",

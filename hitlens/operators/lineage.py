@@ -49,6 +49,13 @@ def with_level_sizes(metadata: DataFrame, prefix: str = "query") -> DataFrame:
     return metadata.withColumns({f"n_{v}": F.count(F.lit(1)).over(Window.partitionBy(f"{prefix}_{v}")) for v in LEVELS})
 
 
+def label_table(metadata: DataFrame, prefix: str = "query") -> DataFrame:
+    """The distinct labels, a row for each family (NULL included), with n_{level}:
+    how many entities of metadata share the label."""
+    counts = metadata.groupBy(*(F.col(f"{prefix}_{v}").alias(v) for v in LEVELS)).agg(F.count("*").alias("rows"))
+    return counts.withColumns({f"n_{v}": F.sum("rows").over(Window.partitionBy(v)) for v in LEVELS}).drop("rows")
+
+
 def level_sizes(metadata: DataFrame, prefix: str = "query") -> DataFrame:
     """(level, label, n): entities of each label of each level, in one aggregation."""
     pairs = F.array(*(F.struct(F.lit(v).alias("level"), F.col(f"{prefix}_{v}").alias("label")) for v in LEVELS))
