@@ -185,6 +185,12 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return stage(spread_join(shared, hubs.drop("rows"), ["key"], F.col("node"), hubs.select("key", "rows")), "buckets")
 
 
+def _registers_of(nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, n, regs) of nodes (node) and of few others, staged: most classes are
+    in no pair, and registers are the widest column that a join would move."""
+    return stage(maybe_listed(classes.select("node", "n", "regs"), "node", stage(nodes.distinct(), "nodes")), "few")
+
+
 def _near(ra, rb, na, nb, least: float) -> np.ndarray:
     """Whether sets with registers ra, rb and sizes na, nb may reach the similarity least."""
     good = (ra == rb).sum(axis=1) >= least * M
@@ -206,7 +212,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
             na, nb = (batch.column(c).to_numpy().astype(float) for c in ("na", "nb"))
             yield batch.select(["a", "b"]).filter(pa.array(_near(ra, rb, na, nb, least)))
 
-    of = classes.select("node", "n", "regs")
+    of = _registers_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), classes)
     joined = spread_join(pairs.join(of.toDF("b", "nb", "rb"), "b"), of.toDF("a", "na", "ra"), ["a"], F.col("b"), pairs.groupBy("a").agg(F.count("*").alias("rows")))
     return stage(joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long"), "near")
 
@@ -274,7 +280,7 @@ def _across(rest: DataFrame, classes: DataFrame, documents: DataFrame, k: int, p
     compared any more."""
     least = percent / 100 - SLACK
     members = (
-        rest.join(classes.select("node", "regs"), "node")
+        rest.join(_registers_of(rest.select("node"), classes).drop("n"), "node")
         .withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
         .groupBy("key", "block", "blocks")
         .agg(F.collect_list(F.struct("node", "c.c", "c.alone", "n", "regs")).alias("members"))
