@@ -16,9 +16,13 @@ queries at once, by one matrix product. The other terms are pruned by blocks as
 in block-max WAND, but a block at a time in place of its document-at-a-time
 pivots: the block maxima, added to the best frequent score, make a bound for every
 block; blocks are opened in steps in order of their bounds, the threshold rises
-after each step, and blocks whose bound is below it are never opened. The
-threshold is carried on to the next shard of the task. Shards' lists merge
-exactly: ties are broken by doc_id everywhere.
+after each step, and blocks whose bound is below it are never opened. Maxima have
+two levels: those of groups of blocks, which are fewer, are added up first, and
+where the groups above the threshold hold most of a query's postings, as they do
+for long queries, all its postings are read once, in their order, instead of
+being picked out by block. The threshold starts with the frequent scores and is
+carried on to the next shard of the task. Shards' lists merge exactly: ties are
+broken by doc_id everywhere.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ from hitlens.llm.warc import _open
 
 SHARD_WORDS = 1 << 23
 BLOCK = 64
+#: Blocks of a group, whose maxima are looked at first.
+GROUP = 8
 K1, B = 1.2, 0.75
 #: Scores are rounded to so many digits before they are compared.
 DIGITS = 6
@@ -197,21 +203,17 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """A loaded shard: impacts of postings, and block maxima by term."""
+    """A loaded shard: impacts of postings, and maxima of blocks and of groups of blocks by term."""
 
     def __init__(self, arrays: dict[str, np.ndarray], mean: float):
         self.terms, self.starts, self.docs, self.ids = (arrays[k] for k in ("terms", "starts", "docs", "ids"))
         tf, lens = arrays["tf"].astype(float), arrays["lens"]
         self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[self.docs] / mean))
-        block = self.docs // BLOCK
-        cut = np.ones(len(block), bool)
-        cut[1:] = block[1:] != block[:-1]
-        cut[self.starts[:-1]] = True
-        at = np.flatnonzero(cut)
-        self.block, self.entry = block[at].astype(np.int64), np.append(at, len(block))
-        self.most = np.maximum.reduceat(self.impact, at) if len(at) else np.zeros(0)
+        del tf
+        self.block, self.most, self.entries, at = self._maxima(BLOCK)
+        self.entry = np.append(at, len(self.docs))
         self.sizes = np.diff(self.entry)
-        self.entries = np.searchsorted(at, self.starts)
+        self.group, self.group_most, self.group_entries, _ = self._maxima(BLOCK * GROUP)
         self.blocks = (len(self.ids) + BLOCK - 1) // BLOCK
 
         # terms of a large part of the shard's documents, as rows over all of them
@@ -223,26 +225,44 @@ class Shard:
             part = slice(self.starts[t], self.starts[t + 1])
             self.dense[i, self.docs[part]] = self.impact[part]
         # by block; the places after the last document have no score
-        self.inside = self.docs % BLOCK
         self.ids = np.append(self.ids, np.zeros(self.blocks * BLOCK - len(self.ids), np.int64)).reshape(-1, BLOCK)
 
+    def _maxima(self, size: int) -> tuple[np.ndarray, ...]:
+        """Of each term's postings by runs of `size` documents: the run, its largest
+        impact (rounded up), the terms' first runs, and the runs' first postings."""
+        run = self.docs // size
+        cut = np.ones(len(run), bool)
+        cut[1:] = run[1:] != run[:-1]
+        cut[self.starts[:-1]] = True
+        at = np.flatnonzero(cut)
+        most = np.maximum.reduceat(self.impact, at) if len(at) else np.zeros(0)
+        return run[at].astype(np.int32), np.nextafter(most.astype(np.float32), np.float32(np.inf)), np.searchsorted(at, self.starts), at
+
     def best(self, queries: dict[str, np.ndarray], k: int, floors: list[float]):
         """For each of queries (ids, offsets, terms, weight): doc_ids and rounded
         scores of the k best documents (the query itself left out) with a score
         of at least its floor."""
+        if "known" not in queries:  # kept for the next shard: distinct terms, sorted, are looked up faster
+            queries["known"], queries["place"] = np.unique(queries["terms"], return_inverse=True)
+        at_known = np.searchsorted(self.terms, queries["known"])
+        if len(self.terms):
+            at_known[self.terms[np.minimum(at_known, len(self.terms) - 1)] != queries["known"]] = -1
+        else:
+            at_known[:] = -1
         ids, offsets = queries["ids"].tolist(), queries["offsets"].tolist()
         for at in range(0, len(ids), TOGETHER):
             which = range(at, min(at + TOGETHER, len(ids)))
             rare, weights = [], np.zeros((len(which), len(self.dense)))
             for i in which:
-                terms, weight = (queries[c][offsets[i] : offsets[i + 1]] for c in ("terms", "weight"))
-                t = np.searchsorted(self.terms, terms)
-                good = self.terms[np.minimum(t, len(self.terms) - 1)] == terms if len(self.terms) else np.zeros(len(terms), bool)
+                t, weight = at_known[queries["place"][offsets[i] : offsets[i + 1]]], queries["weight"][offsets[i] : offsets[i + 1]]
+                good = t >= 0
                 t, weight = t[good], weight[good]
                 row = self.row[t]
                 weights[i - at, row[row >= 0]] = weight[row >= 0]
                 rare.append((t[row < 0], weight[row < 0]))
             base = (weights @ self.dense).reshape(len(which), self.blocks, BLOCK)
+            for i in which:
+                base[i - at][self.ids == ids[i]] = 0
             most = base.max(2)
             for i in which:
                 yield self._best(ids[i], *rare[i - at], base[i - at], most[i - at], k, floors[i])
@@ -250,28 +270,13 @@ class Shard:
     def _best(self, query_id: int, t: np.ndarray, weight: np.ndarray, base: np.ndarray, most: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """base and most: the scores of the frequent terms by block and document,
         and their maxima by block; t and weight: the other terms."""
-        lo, hi = self.entries[t], self.entries[t + 1]
-        e = _ranges(lo, hi)
-        w = np.repeat(weight, hi - lo)
-        block = self.block[e]
-        bound = np.bincount(block, w * self.most[e], minlength=self.blocks) + most
         slack = 10.0**-DIGITS
-        best = np.argsort(-bound)
+        if self.blocks >= k:  # so many blocks have a document of at least so much
+            floor = max(floor, np.partition(most, self.blocks - k)[self.blocks - k])
         ids, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for size in (*STEPS, self.blocks):
-            left = np.searchsorted(-bound[best], -max(floor - 2 * slack, 1e-12), side="right")
-            chosen, best = best[: min(size, left)], best[min(size, left) : left]
-            if not len(chosen):
-                break
-            slot = np.full(self.blocks, -1)
-            slot[chosen] = np.arange(len(chosen)) * BLOCK
-            at = slot[block]
-            opened = np.flatnonzero(at >= 0)
-            starts, size = self.entry[e[opened]], self.sizes[e[opened]]
-            p = _ranges(starts, starts + size)
-            # in order of the query's terms: equal texts get equal sums
-            sums = np.bincount(np.repeat(at[opened], size) + self.inside[p], np.repeat(w[opened], size) * self.impact[p], minlength=len(chosen) * BLOCK) + base[chosen].ravel()
-            mine = self.ids[chosen].ravel()
+
+        def scored(mine: np.ndarray, sums: np.ndarray) -> None:
+            nonlocal floor
             sums[mine == query_id] = 0
             good = np.flatnonzero(sums >= max(floor - 2 * slack, 1e-12))
             ids.append(mine[good])
@@ -279,11 +284,46 @@ class Shard:
             so_far = np.concatenate(scores)
             if len(so_far) >= k:
                 floor = max(floor, np.partition(so_far, len(so_far) - k)[len(so_far) - k])
+
+        # in order of the query's terms: equal texts get equal sums
+        if self._mostly_open(t, weight, most, max(floor - 2 * slack, 1e-12)):
+            starts, ends = self.starts[t], self.starts[t + 1]
+            p = _ranges(starts, ends)
+            scored(self.ids.ravel(), np.bincount(self.docs[p], np.repeat(weight, ends - starts) * self.impact[p], minlength=base.size) + base.ravel())
+        else:
+            lo, hi = self.entries[t], self.entries[t + 1]
+            e = _ranges(lo, hi)
+            w = np.repeat(weight, hi - lo)
+            block = self.block[e]
+            bound = np.bincount(block, w * self.most[e], minlength=self.blocks) + most
+            best = np.argsort(-bound)
+            for size in (*STEPS, self.blocks):
+                left = np.searchsorted(-bound[best], -max(floor - 2 * slack, 1e-12), side="right")
+                chosen, best = best[: min(size, left)], best[min(size, left) : left]
+                if not len(chosen):
+                    break
+                slot = np.full(self.blocks, -1)
+                slot[chosen] = np.arange(len(chosen)) * BLOCK
+                at = slot[block]
+                opened = np.flatnonzero(at >= 0)
+                starts, size = self.entry[e[opened]], self.sizes[e[opened]]
+                p = _ranges(starts, starts + size)
+                sums = np.bincount(np.repeat(at[opened], size) + self.docs[p] % BLOCK, np.repeat(w[opened], size) * self.impact[p], minlength=len(chosen) * BLOCK)
+                scored(self.ids[chosen].ravel(), sums + base[chosen].ravel())
         ids, rounded = np.concatenate(ids), np.round(np.concatenate(scores), DIGITS)
         found = np.flatnonzero(rounded >= max(round(floor - slack, DIGITS), slack))
         found = found[np.lexsort((ids[found], -rounded[found]))[:k]]
         return ids[found], rounded[found]
 
+    def _mostly_open(self, t: np.ndarray, weight: np.ndarray, most: np.ndarray, least: float) -> bool:
+        """Whether the groups of blocks that may have a score of `least` have most of the terms' postings, by runs."""
+        lo, hi = self.group_entries[t], self.group_entries[t + 1]
+        e = _ranges(lo, hi)
+        group = self.group[e]
+        frequent = np.maximum.reduceat(most, np.arange(0, self.blocks, GROUP))
+        bound = np.bincount(group, np.repeat(weight, hi - lo) * self.group_most[e], minlength=len(frequent)) + frequent
+        return 2 * np.count_nonzero((bound >= least)[group]) >= len(group)
+
 
 def _lists(named: DataFrame, size: int, name: str) -> DataFrame:
     """The column file of named in lists of `size` (the last of about a thousand may be shorter)."""
