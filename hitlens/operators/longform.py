@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hitlens.functions.names import last_token
-from hitlens.operators.metrics import quantiles, running
+from hitlens.operators.metrics import quantiles, running, times
 from hitlens.operators.retrieval import scores_long
 from hitlens.schema import LEVELS
 
@@ -28,14 +28,21 @@ def value_counts(df: DataFrame, columns: list[str], top: int | None = None) -> D
     return counts if top is None else counts.orderBy(F.desc("n"), *columns).limit(top)
 
 
-def score_summary(long: DataFrame, groups: list[str]) -> DataFrame:
-    """Mean, median, quartiles, spread and count of score_value; infinite and NaN values count as missing."""
+def score_summary(long: DataFrame, groups: list[str], weight: str | None = None) -> DataFrame:
+    """Mean, median, quartiles, spread and count of score_value; infinite and NaN
+    values count as missing. weight: a column that says how often a row counts."""
     v = F.col("score_value")
     good = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
-    rows = long.select(*groups, good.alias("score_value"))
-    sums = rows.groupBy(*groups).agg(F.count("score_value").alias("n"), F.avg("score_value").alias("mean"), F.stddev_samp("score_value").alias("sd"))
-    middle = quantiles(rows, groups, "score_value", {"median": 0.5, "q1": 0.25, "q3": 0.75})
-    return sums.join(middle, groups, "left").select(*groups, "n", "mean", "median", "q1", "q3", "sd")
+    rows = long.select(*groups, good.alias("score_value"), times(weight).alias("times"))
+    rows = rows.groupBy(*groups, "score_value").agg(F.sum("times").alias("times"))
+    known = F.when(F.col("score_value").isNotNull(), F.col("times"))
+    sums = rows.groupBy(*groups).agg(F.coalesce(F.sum(known), F.lit(0)).alias("n"), (F.sum(F.col("score_value") * known) / F.sum(known)).alias("mean"))
+    off = F.col("score_value") - F.col("mean")
+    same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in groups]
+    spread = rows.alias("a").join(sums.alias("b"), same).groupBy(*(F.col(f"a.{g}").alias(g) for g in groups)).agg(F.sum(off * off * F.col("times")).alias("squares"))
+    middle = quantiles(rows, groups, "score_value", {"median": 0.5, "q1": 0.25, "q3": 0.75}, "times")
+    out = sums.join(spread, groups, "left").withColumn("sd", F.when(F.col("n") > 1, F.sqrt(F.col("squares") / (F.col("n") - 1))))
+    return out.join(middle, groups, "left").select(*groups, "n", "mean", "median", "q1", "q3", "sd")
 
 
 def summary(df: DataFrame, columns: list[str]) -> DataFrame:

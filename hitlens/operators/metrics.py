@@ -33,10 +33,16 @@ def running(counts: DataFrame, groups: list[str], value: str, sums: list[str], d
     return out.select(*counts.columns, *((F.col(f"from_{s}") + F.sum(s).over(within)).alias(f"upto_{s}") for s in sums))
 
 
-def quantiles(df: DataFrame, groups: list[str], value: str, parts: dict[str, float]) -> DataFrame:
+def times(weight: str | None) -> Column:
+    """How often a row counts: the column weight, once without one."""
+    return F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+
+
+def quantiles(df: DataFrame, groups: list[str], value: str, parts: dict[str, float], weight: str | None = None) -> DataFrame:
     """(groups, a column for each of parts): exact quantiles with interpolation
-    between neighbours, from the counts of distinct values. Null values are left out."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("v")).agg(F.count("*").alias("rows"))
+    between neighbours, from the counts of distinct values. Null values are left
+    out. weight: a column that says how often a row counts."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("v")).agg(F.sum(times(weight)).alias("rows"))
     totals = counts.groupBy(*groups).agg(F.sum("rows").alias("all"))
     t = _joined(running(counts, groups, "v", ["rows"]), totals, groups)
     first, last = F.col("upto_rows") - F.col("rows"), F.col("upto_rows") - 1
@@ -52,13 +58,14 @@ def quantiles(df: DataFrame, groups: list[str], value: str, parts: dict[str, flo
     return t.groupBy(*groups).agg(*columns)
 
 
-def thresholds(df: DataFrame, groups: list[str], label: str, score: str) -> DataFrame:
+def thresholds(df: DataFrame, groups: list[str], label: str, score: str, weight: str | None = None) -> DataFrame:
     """(groups, threshold, tp, fp, p, n): cumulative counts at each distinct
     score, descending. Rows with a NULL label or a NULL or NaN score are left
-    out; groups of one class only have no rows, as no curve is defined for them."""
+    out; groups of one class only have no rows, as no curve is defined for them.
+    weight, here and below: a column that says how often a row counts."""
     y = F.col(label).cast("int")
     rows = df.filter(y.isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
-    counts = rows.groupBy(*groups, F.col(score).cast("double").alias("threshold")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    counts = rows.groupBy(*groups, F.col(score).cast("double").alias("threshold")).agg(F.sum(y * times(weight)).alias("pos"), F.sum((1 - y) * times(weight)).alias("neg"))
     totals = counts.groupBy(*groups).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).filter("p > 0 AND n > 0")
     out = running(_joined(counts, totals, groups), groups, "threshold", ["pos", "neg"], descending=True)
     return out.select(*groups, "threshold", F.col("upto_pos").alias("tp"), F.col("upto_neg").alias("fp"), "p", "n", "pos", "neg")
@@ -77,32 +84,32 @@ SCORERS: dict[str, Callable[[], Column]] = {
 }
 
 
-def binary_scores(df: DataFrame, groups: list[str], label: str, score: str) -> DataFrame:
+def binary_scores(df: DataFrame, groups: list[str], label: str, score: str, weight: str | None = None) -> DataFrame:
     """(groups, average_precision, roc_auc, positives, negatives)."""
     scores = [SCORERS[s]().alias(s) for s in ("average_precision", "roc_auc")]
-    return thresholds(df, groups, label, score).groupBy(*groups).agg(*scores, F.first("p").alias("positives"), F.first("n").alias("negatives"))
+    return thresholds(df, groups, label, score, weight).groupBy(*groups).agg(*scores, F.first("p").alias("positives"), F.first("n").alias("negatives"))
 
 
-def score_table(df: DataFrame, groups: list[str], label: str, score: str, scorers: dict[str, Callable[[], Column]] | None = None) -> DataFrame:
+def score_table(df: DataFrame, groups: list[str], label: str, score: str, scorers: dict[str, Callable[[], Column]] | None = None, weight: str | None = None) -> DataFrame:
     """(groups, metric, value): a row for each group and scorer (name -> aggregate over thresholds' rows)."""
     scorers = SCORERS if scorers is None else scorers
-    wide = thresholds(df, groups, label, score).groupBy(*groups).agg(*(make().cast("double").alias(name) for name, make in scorers.items()))
+    wide = thresholds(df, groups, label, score, weight).groupBy(*groups).agg(*(make().cast("double").alias(name) for name, make in scorers.items()))
     return wide.unpivot(groups, list(scorers), "metric", "value")
 
 
-def pr_curve(df: DataFrame, groups: list[str], label: str, score: str) -> DataFrame:
+def pr_curve(df: DataFrame, groups: list[str], label: str, score: str, weight: str | None = None) -> DataFrame:
     """(groups, precision, recall, threshold), and for each group the last point
     (1, 0) at its largest threshold."""
-    t = thresholds(df, groups, label, score)
+    t = thresholds(df, groups, label, score, weight)
     points = t.select(*groups, (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("p")).alias("recall"), "threshold")
     last = t.groupBy(*groups).agg(F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"), F.max("threshold").alias("threshold"))
     return points.unionByName(last)
 
 
-def roc_curve(df: DataFrame, groups: list[str], label: str, score: str, drop_intermediate: bool = True) -> DataFrame:
+def roc_curve(df: DataFrame, groups: list[str], label: str, score: str, drop_intermediate: bool = True, weight: str | None = None) -> DataFrame:
     """(groups, fpr, tpr, threshold) with the point (0, 0) at an infinite
     threshold; drop_intermediate leaves out points between collinear neighbours."""
-    t = thresholds(df, groups, label, score)
+    t = thresholds(df, groups, label, score, weight)
     if drop_intermediate:
         order = Window.partitionBy(*groups).orderBy(F.desc("threshold"))
         after = t.withColumns({"pos1": F.lead("pos").over(order), "neg1": F.lead("neg").over(order)})
@@ -112,10 +119,10 @@ def roc_curve(df: DataFrame, groups: list[str], label: str, score: str, drop_int
     return points.unionByName(start)
 
 
-def det_curve(df: DataFrame, groups: list[str], label: str, score: str) -> DataFrame:
+def det_curve(df: DataFrame, groups: list[str], label: str, score: str, weight: str | None = None) -> DataFrame:
     """(groups, fpr, fnr, threshold) from the last point without false positives
     (or the first) to the first one with all true positives."""
-    t = thresholds(df, groups, label, score)
+    t = thresholds(df, groups, label, score, weight)
     ends = t.groupBy(*groups).agg(F.coalesce(F.min(F.when(F.col("fp") == 0, F.col("threshold"))), F.max("threshold")).alias("hi"), F.max(F.when(F.col("tp") == F.col("p"), F.col("threshold"))).alias("lo"))
     kept = _joined(t, ends, groups).filter("threshold <= hi AND threshold >= lo")
     return kept.select(*groups, (F.col("fp") / F.col("n")).alias("fpr"), (1 - F.col("tp") / F.col("p")).alias("fnr"), "threshold")

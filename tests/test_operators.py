@@ -193,3 +193,21 @@ def test_merged_kmers_get_suffixes(spark):
     a = spark.createDataFrame([("x", "hp", 0)], "name string, encoded string, start int")
     out = K.merge_kmers(a, a, ["encoded"])
     assert out.columns == ["encoded", "name_x", "start_x", "name_y", "start_y"] and out.count() == 1
+
+
+def test_weights_count_like_repeated_rows(spark):
+    draw = random.Random(5)
+    kinds = [(g, draw.random() < 0.4, draw.choice([0.1, 0.2, 0.5, 0.9, float("-inf"), None]), draw.randrange(1, 6)) for g in "ab" for _ in range(12)]
+    short = spark.createDataFrame(kinds, "g string, y boolean, score_value double, rows long")
+    full = spark.createDataFrame([k[:3] for k in kinds for _ in range(k[3])], "g string, y boolean, score_value double")
+
+    def rows(df):
+        return sorted(tuple(round(x, 9) if isinstance(x, float) else str(x) for x in r) for r in df.collect())
+
+    for f in (metrics.binary_scores, metrics.score_table, metrics.pr_curve, metrics.roc_curve, metrics.det_curve):
+        assert rows(f(short, ["g"], "y", "score_value", weight="rows")) == rows(f(full, ["g"], "y", "score_value"))
+    out = {r.g: r for r in longform.score_summary(short, ["g"], "rows").collect()}
+    for g in "ab":
+        v = np.array([k[2] for k in kinds if k[0] == g and k[2] not in (None, float("-inf")) for _ in range(k[3])])
+        want = [len(v), v.mean(), np.median(v), np.quantile(v, 0.25), np.quantile(v, 0.75), v.std(ddof=1)]
+        assert np.allclose([out[g][c] for c in ("n", "mean", "median", "q1", "q3", "sd")], want)
