@@ -35,6 +35,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path of shared_path that is used up, before the session ends."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, so a
     lost executor costs a reread and not a recomputation."""
