@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +43,16 @@ def remove(spark: SparkSession, path: str) -> None:
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files of what has ended go: Spark removes them only after
+    the driver's JVM has collected the frames that made them, which may be late.
+    Twice, as frames may end up unused shortly after the step itself."""
+    for pause in (0.3, 0):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, so a
     lost executor costs a reread and not a recomputation."""
