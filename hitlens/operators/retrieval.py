@@ -45,10 +45,13 @@ def sensitivity_first_fp(
     )
     none = F.col("hits") if mode == "intent" else F.lit(0)
     out = found.select(key, "score_name", *(ratio(F.coalesce(F.col(f"fp_{v}") - 1, none), F.col(f"n_{v}") - 1).alias(f"sensitivity_{v}") for v in levels))
-    if all_queries is None:
-        return out
+    return out if all_queries is None else with_all_queries(out, all_queries, scores, key)
+
+
+def with_all_queries(sensitivity: DataFrame, all_queries: DataFrame, scores: list[str], key: str = "query_scop_id") -> DataFrame:
+    """A row for each of all_queries (key) and score: queries without hits have 0."""
     wanted = all_queries.select(key).distinct().withColumn("score_name", F.explode(F.array(*map(F.lit, scores))))
-    return wanted.join(out, [key, "score_name"], "left").na.fill(0.0)
+    return wanted.join(sensitivity, [key, "score_name"], "left").na.fill(0.0)
 
 
 def tidy(sensitivity: DataFrame, key: str = "query_scop_id", levels: list[str] = LEVELS) -> DataFrame:
